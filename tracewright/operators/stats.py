@@ -50,10 +50,10 @@ def command_class(command: Column) -> Column:
     return F.coalesce(F.get(F.array(*[F.lit(c) for c in CLASS_ORDER]), (F.array_min(rank) - 1).cast("int")), F.lit("other"))
 
 
-def token_contribution(commands: DataFrame, key: str, order: str, tokens: str, command: str) -> DataFrame:
+def token_contribution(commands: DataFrame, key: str, order: Sequence[str], tokens: str, command: str) -> DataFrame:
     """Per class: tokens, and tokens weighted by the number of steps that still carry them (n - i), with their shares."""
     w = Window.partitionBy(key)
-    weighted = commands.withColumn("i", F.row_number().over(w.orderBy(order)) - 1).withColumn("n", F.count("*").over(w))
+    weighted = commands.withColumn("i", F.row_number().over(w.orderBy(*order)) - 1).withColumn("n", F.count("*").over(w))
     sums = weighted.groupBy(command_class(F.col(command)).alias("class")).agg(
         F.count("*").alias("n_commands"), F.sum(tokens).alias("tokens"), F.sum(F.col(tokens) * (F.col("n") - F.col("i"))).alias("carried")
     )

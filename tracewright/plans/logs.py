@@ -34,7 +34,7 @@ def command_classes(spark, d):
 
 
 def token_contribution(spark, d):
-    return stats.token_contribution(_commands(spark, d), "l_orderkey", "l_linenumber", "tokens", "command")
+    return stats.token_contribution(_commands(spark, d), "l_orderkey", ["l_linenumber", "tokens"], "tokens", "command")
 
 
 def _tool_messages(spark, d):
@@ -231,7 +231,7 @@ SELECT l_orderkey, l_linenumber, trim(ws[i], '''') AS path,
   CASE WHEN ws[1] = 'head' THEN regexp_extract(segment, '-n ?(\\d+)', 1)::BIGINT WHEN ws[1] = 'sed' THEN regexp_extract(segment, '''(\\d+),(\\d+)p', 2)::BIGINT ELSE -1 END AS e
 FROM x WHERE ws[i - 1] <> '-n' AND NOT starts_with(ws[i], '-') AND regexp_matches(ws[i], '/|\\.(py|md)$')""",
     "command_classes": f"WITH {_CMD} SELECT {_CLASS} AS class, count(*) AS n FROM cmd GROUP BY 1",
-    "token_contribution": f"""WITH {_CMD}, c AS (SELECT {_CLASS} AS class, tokens, tokens * (count(*) OVER (PARTITION BY l_orderkey) - row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber) + 1) AS carried FROM cmd),
+    "token_contribution": f"""WITH {_CMD}, c AS (SELECT {_CLASS} AS class, tokens, tokens * (count(*) OVER (PARTITION BY l_orderkey) - row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, tokens) + 1) AS carried FROM cmd),
 s AS (SELECT class, count(*) AS n_commands, sum(tokens)::BIGINT AS tokens, sum(carried)::BIGINT AS carried FROM c GROUP BY 1)
 SELECT *, tokens / sum(tokens) OVER () AS token_share, carried / sum(carried) OVER () AS carried_share FROM s""",
     "grep_output_lines": """WITH l AS (SELECT msg_id, unnest(string_split_regex(content, '\\r?\\n')) AS l FROM messages WHERE content IS NOT NULL AND msg_id IS NOT NULL)
