@@ -106,7 +106,8 @@ def ending(text: str) -> str:
         return "whole"
     bullet = BULLET.match(line)
     words = quoted[bullet.end() :].split() if bullet else quoted.split()
-    path = PATH_END.search(quoted)
+    # A name of a file is short; a longer run without blanks is no path.
+    path = PATH_END.search(words[-1]) if words and len(words[-1]) <= 1000 else None
     if path and (path.group("ext").lower() in EXTENSIONS):
         lone = len(words) == 1 or (len(words) <= 4 and re.match(r"(?i)(see|also|refs?|files?|source|cf|siehe|voir|véase)\b", words[0]))
         if lone:

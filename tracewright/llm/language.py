@@ -16,7 +16,8 @@ FUNCTION_WORDS = {
     "nl": "de het een en van in is dat op te zijn met voor niet aan er om ook als maar bij nog door wordt naar dan deze dit wanneer zonder".split(),
 }
 _LANGS = {w: [k for k, v in FUNCTION_WORDS.items() if w in v] for v in FUNCTION_WORDS.values() for w in v}
-_CODE = re.compile(r"```.*?(?:```|\Z)|`[^`\n]*`|\S*[/\\_]\S*|\S*\(\)\S*|\b[a-zA-Z]+[A-Z]\w*|\b\w*\d\w*", re.DOTALL)
+_FENCED = re.compile(r"```.*?(?:```|\Z)|`[^`\n]*`", re.DOTALL)
+_NO_PROSE = re.compile(r"[/\\_\d]|\(\)|[a-z][A-Z]")
 _WORD = re.compile(r"[^\W\d_]+(?:'[^\W\d_]+)?")
 #: Code point ranges of scripts that tell the language.
 _SCRIPTS = (("ja", 0x3040, 0x30FF), ("zh", 0x4E00, 0x9FFF), ("zh", 0x3400, 0x4DBF), ("ko", 0xAC00, 0xD7AF), ("ru", 0x0400, 0x04FF), ("ar", 0x0600, 0x06FF), ("he", 0x0590, 0x05FF), ("el", 0x0370, 0x03FF), ("th", 0x0E00, 0x0E7F), ("hi", 0x0900, 0x097F))
@@ -24,7 +25,7 @@ _SCRIPTS = (("ja", 0x3040, 0x30FF), ("zh", 0x4E00, 0x9FFF), ("zh", 0x3400, 0x4DB
 
 def language(text: str) -> str | None:
     """Language code, or None if the text gives no clear sign. Code, paths and identifiers don't count."""
-    plain = _CODE.sub(" ", text)
+    plain = " ".join([w for w in _FENCED.sub(" ", text).split() if not _NO_PROSE.search(w)])
     if not plain.isascii():
         scripts: Counter[str] = Counter()
         for ch in plain:

@@ -102,7 +102,7 @@ def split_oversized(items: DataFrame, key: str = "chunk_id", text: str = "conten
 
     Result: key, piece_no (from 1), start_char, end_char (offsets, end exclusive), first_line,
     last_line (within the item), cut_kind (``line`` if the piece ends at a line's or the text's end,
-    else ``inside``), piece. Null texts and texts that fit are not in the result; an item counts
+    else ``inside``), piece. Null texts, null keys and texts that fit are not in the result; an item counts
     once however often its row is repeated; the length filter runs before anything is shuffled.
     """
     if not 0 <= overlap < size:
@@ -120,7 +120,7 @@ def split_oversized(items: DataFrame, key: str = "chunk_id", text: str = "conten
                         columns=[key, "piece_no", "start_char", "end_char", "first_line", "last_line", "cut_kind", "piece"],
                     )
 
-    large = items.select(key, text).filter(F.length(text) > size).dropDuplicates([key])
+    large = items.select(key, text).filter(F.col(key).isNotNull() & (F.length(text) > size)).dropDuplicates([key])
     return large.mapInPandas(run, PIECE_SCHEMA.format(key=key))
 
 
