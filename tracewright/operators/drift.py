@@ -99,7 +99,7 @@ def file_changes(records: DataFrame, id_field: str = "id") -> DataFrame:
     )
     new = types.select("feed", "n", "field", F.col("kind").alias("new_kind"))
     old = types.select("feed", (F.col("n") + 1).alias("n"), "field", F.col("kind").alias("old_kind"))
-    both = (
+    both = cut_lineage(
         new.join(old, ["feed", "n", "field"], "full_outer")
         .join(files, ["feed", "n"])
         .filter("n > 1 and not new_kind <=> old_kind")
@@ -142,7 +142,7 @@ def file_changes(records: DataFrame, id_field: str = "id") -> DataFrame:
         )
     )
     rank = [F.desc("same"), F.desc("alike"), "old_field", "new_field"]
-    renamed = (
+    renamed = cut_lineage(
         judged.withColumn("r1", F.row_number().over(Window.partitionBy("feed", "n", "old_field").orderBy(*rank)))
         .withColumn("r2", F.row_number().over(Window.partitionBy("feed", "n", "new_field").orderBy(*rank)))
         .filter("r1 = 1 and r2 = 1")
