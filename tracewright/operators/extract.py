@@ -52,17 +52,10 @@ def reads_content(command: Column) -> Column:
 
 def path_args(command: Column) -> Column:
     """Path-like words of a command. -n, -c, -q and -v swallow the word after them (so ``cat -n f.py`` names none)."""
-    ws = command_words(command)
-    # A value flag that is itself swallowed swallows nothing, hence a fold from the left.
-    return F.aggregate(
-        ws,
-        F.struct(F.lit(False).alias("skip"), F.array().cast("array<string>").alias("out")),
-        lambda s, w: F.when(s["skip"], F.struct(F.lit(False).alias("skip"), s["out"].alias("out")))
-        .when(w.isin(*VALUE_FLAGS), F.struct(F.lit(True).alias("skip"), s["out"].alias("out")))
-        .when(w.startswith("-") | ~likely_path(w), F.struct(F.lit(False).alias("skip"), s["out"].alias("out")))
-        .otherwise(F.struct(F.lit(False).alias("skip"), F.concat(s["out"], F.array(F.btrim(w, F.lit(_TRIM)))).alias("out"))),
-        lambda s: s["out"],
-    )
+    # Left to right, so a value flag that is itself swallowed swallows nothing.
+    kept = F.regexp_replace(command, r"(?<!\S)(?:" + "|".join(VALUE_FLAGS) + r")\s+\S+", " ")
+    paths = F.filter(command_words(kept), lambda w: ~w.startswith("-") & likely_path(w))
+    return F.transform(paths, lambda w: F.btrim(w, F.lit(_TRIM)))
 
 
 def line_range(command: Column) -> Column:
@@ -255,7 +248,7 @@ def parse_locations(text: str | None, marker: str = "RELEVANT_FILES") -> list[tu
                 a, b = int(m["a"]), int(m["b"]) if m["b"] else int(m["a"])
                 if 1 <= a <= b:
                     found.append((m["path"].strip(_WRAP).removeprefix("./"), a, b))
-            elif block and one and " " not in one and ("/" in one or "." in one):
+            elif block and one and " " not in one and "://" not in one and not m and ("/" in one or "." in one):
                 found.append((one.removeprefix("./"), 1, -1))
     return found
 

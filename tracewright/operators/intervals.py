@@ -14,6 +14,8 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tracewright.session import cut_lineage
+
 #: Fixed value: the end of a file during the algebra.
 EOF = 1_000_000
 
@@ -203,7 +205,7 @@ def ground_truth(reads: DataFrame, members: DataFrame, modified: DataFrame) -> d
     trajectories' lines without the core. modified_core: paths that all of them modified. main:
     modified_core paths with core lines. All tables come from one pass over the merged reads.
     """
-    core = intersect_all(reads, ["instance_id"], "traj_id", members)
+    core = cut_lineage(intersect_all(reads, ["instance_id"], "traj_id", members))  # read three times below
     models = reads.select("instance_id", "model").distinct()
     union = merge(reads, ["instance_id", "model", "path"])
     core_by_model = core.join(models, "instance_id")

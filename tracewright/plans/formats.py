@@ -55,6 +55,7 @@ def action_views(spark, d):
 
 def chat_round_trip(spark, d):
     m = _messages(spark, d).filter("role in ('system', 'user', 'assistant') and content <> ''")
+    m = m.filter(F.trim(F.regexp_replace("content", r"\[(System|User|Assistant)\]", ""), F.lit(" \n\t\r")) != "")
     item = F.struct("step_idx", "role", F.trim(F.regexp_replace("content", r"\[(System|User|Assistant)\]", ""), F.lit(" \n\t\r")).alias("content"))
     chats = m.groupBy("traj_id").agg(F.transform(F.array_sort(F.collect_list(item)), lambda x: F.struct(x["role"], x["content"])).alias("messages"))
     back = chats.select("traj_id", "messages", nz.chat_messages(nz.chat_text(F.col("messages"))).alias("back"))
@@ -97,7 +98,7 @@ SELECT traj_id, length(trim(i, ' ' || chr(10))) AS a, length(left(trim(i, ' ' ||
     "action_views": f"""WITH {_M}, x AS (SELECT traj_id, step_idx, role, lead(role) OVER w AS nr, lead(content) OVER w AS nc, tool_calls FROM m WINDOW w AS (PARTITION BY traj_id ORDER BY step_idx)),
 u AS (SELECT traj_id, step_idx, nr, nc, unnest(tool_calls) AS c, unnest(range(len(tool_calls))) AS pos FROM x WHERE role = 'assistant')
 SELECT traj_id, row_number() OVER (PARTITION BY traj_id ORDER BY step_idx, pos) AS step_no, c.function.name AS name, CASE WHEN nr = 'tool' THEN length(left(nc, 50)) END AS n FROM u""",
-    "chat_round_trip": f"WITH {_M} SELECT traj_id, count(*) AS n, true AS same FROM m WHERE role IN ('system', 'user', 'assistant') AND content <> '' GROUP BY 1",
+    "chat_round_trip": f"WITH {_M} SELECT traj_id, count(*) AS n, true AS same FROM m WHERE role IN ('system', 'user', 'assistant') AND trim(regexp_replace(content, '\\[(System|User|Assistant)\\]', '', 'g'), ' ' || chr(10) || chr(9) || chr(13)) <> '' GROUP BY 1",
     "context_modes": views.with_views("SELECT instance_id, count(*) AS n FROM (SELECT instance_id, path, s, e FROM core UNION SELECT instance_id, path, s, e FROM optional) GROUP BY 1", "reads", "modified", "lines", "core"),
     "rolling_events": "SELECT strftime(date_trunc('day', ts), '%Y-%m-%d') AS day, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2",
     "event_sessions": """WITH l AS (SELECT user_id, ts, CASE WHEN ts < lag(ts) OVER (PARTITION BY user_id ORDER BY ts) + INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS new FROM events)

@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -58,6 +59,11 @@ def event_lines(raw: DataFrame, text: str = "value", keys: Iterable[str] = ()) -
     return flat.filter(F.schema_of_variant("event").startswith("OBJECT"))
 
 
+def _decoded(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for batch in batches:  # the built-in decode fails on bad bytes
+        yield pd.DataFrame({"path": batch["path"], "text": [bytes(b).decode("utf-8", "replace") for b in batch["content"]]})
+
+
 def source_tree(spark: SparkSession, root: str, suffixes: Iterable[str] = SOURCE_SUFFIXES, excluded: Iterable[str] = EXCLUDED_DIRS) -> DataFrame:
     """Source files below a folder: path relative to it and text. Suffixes and folder names match without regard to case.
 
@@ -73,9 +79,5 @@ def source_tree(spark: SparkSession, root: str, suffixes: Iterable[str] = SOURCE
         keep = keep | F.lower("rel").endswith(s)
     folders = F.slice(F.split(F.lower("rel"), "/"), 1, F.size(F.split("rel", "/")) - 1)
     banned = F.exists(folders, lambda d: d.isin(*excluded)) if excluded else F.lit(False)
-    return files.withColumn("rel", rel).filter(keep & ~banned).select(F.col("rel").alias("path"), _decode(F.col("content")).alias("text"))
-
+    return files.withColumn("rel", rel).filter(keep & ~banned).select(F.col("rel").alias("path"), "content").mapInPandas(_decoded, "path string, text string")
 
-@F.pandas_udf("string")
-def _decode(content):  # built-in decode raises on bad bytes
-    return content.map(lambda b: bytes(b).decode("utf-8", "replace"))
