@@ -138,3 +138,12 @@ def test_normalisers(spark):
     d = spark.createDataFrame([("u_r_x_pr12", [("user", "<uploaded_files>f</uploaded_files> go")], i) for i in range(2)], "data_source string, messages array<struct<role string, content string>>, pos int")
     assert sorted((r.instance_id, r.repo, r.issue) for r in nz.from_distilled(d, "pos").collect()) == [("u_r_x_pr12", "u/r_x", "go"), ("u_r_x_pr12_t1", "u/r_x", "go")]
     assert one(spark, nz.message_text(F.col("c")), c='["a", 1, "b"]') == "a b" and one(spark, nz.message_text(F.col("c")), c="plain") == "plain"
+
+
+def test_event_errors_and_key_search(spark, rows):
+    from tracewright.sources.readers import event_lines
+
+    text = '{"error": {"name": "A", "data": {"message": "x"}}}\n{"error": {"name": "B", "message": "y"}}\n{"error": {"name": "A", "message": "x"}}\n{"type": "text"}\n{"error": null}'
+    raw = spark.createDataFrame([("s", text), ("t", None)], "sid string, value string")
+    assert rows(ex.event_errors(event_lines(raw, keys=["sid"]), ["sid"])) == [("s", 0, "A: x"), ("s", 1, "B: y")]
+    assert stats.find_key({"a": {"k": 1}, "b": [{"k": 2}]}, "k") == 1 and stats.find_key({"a": {"k": 1}, "k": 3}, "k") == 3 and stats.find_key([], "k") is None

@@ -217,6 +217,18 @@ def event_answers(events: DataFrame, marker: str = "RELEVANT_FILES") -> DataFram
     return tail.groupBy("sessionid").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ts_ms", "event_id", "text"))), lambda x: x["text"]), "\n").alias("answer"))
 
 
+def event_errors(events: DataFrame, keys: Sequence[str], event: str = "event", pos: str = "pos") -> DataFrame:
+    """Distinct errors of an event stream in order of their first sight: keys, error_no from 0, error as ``name: message``.
+
+    ``event`` is a variant with an object ``error`` of name and data.message or message, as :func:`sources.readers.event_lines` gives it.
+    """
+    get = lambda p: F.try_variant_get(event, p, "string")
+    message = F.coalesce(get("$.error.data.message"), get("$.error.message"))
+    text = F.concat_ws(": ", get("$.error.name"), message)
+    found = events.select(*keys, pos, text.alias("error")).filter("error <> ''").groupBy(*keys, "error").agg(F.min(pos).alias("at"))
+    return found.select(*keys, (F.row_number().over(Window.partitionBy(*keys).orderBy("at", "error")) - 1).alias("error_no"), "error")
+
+
 def submitted_patch(messages: DataFrame, key: str = "traj_id") -> DataFrame:
     """Per run the last message with a diff, cut to where the diff begins."""
     has = F.col("content").contains("diff --git")
