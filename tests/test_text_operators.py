@@ -121,7 +121,7 @@ def test_bookkeeping(spark, rows):
     r = spark.createDataFrame([("x", 5, 1, "success", 1), ("x", 5, 1, "error", 2), ("x", 10, 1, None, 3), ("x", 5, 2, "success", 4)], "explorer string, top_k int, instance_id int, outcome string, pos int")
     assert rows(runs.latest_rows(r, ["explorer", "top_k", "instance_id"], ["pos"]), "pos") == [(2,), (3,), (4,)]
     cases = spark.createDataFrame([(1,), (2,), (3,)], "instance_id int")
-    assert rows(runs.pending_cases(cases, r, 2), "instance_id") == [(2,), (3,)]
+    assert rows(runs.pending_cases(cases, r, 2, ["x"]), "instance_id") == [(2,), (3,)]
     assert runs.secret_key("API-Key") and not runs.secret_key("max_token") and runs.redact({"a": [{"token": "x"}]}) == {"a": [{"token": "***"}]}
     assert runs.identity({"b": 1, "a": 2}) == runs.identity({"a": 2, "b": 1})
 

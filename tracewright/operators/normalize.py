@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tracewright.operators.ordering import running_totals
+
 CALLS = "array<struct<id:string,type:string,function:struct<name:string,arguments:string>>>"
 MESSAGE = f"struct<role:string,content:string,tool_calls:{CALLS},name:string,tool_call_id:string>"
 #: Model names of the formats that carry none.
@@ -163,8 +165,10 @@ def from_native(rows: DataFrame) -> DataFrame:
 
 def number_runs(rows: DataFrame, keys: list[str], order: list[str], most: int | None = None) -> DataFrame:
     """Adds run, the number of the row within its key from 0; with ``most`` only the first that many."""
-    out = rows.withColumn("run", F.row_number().over(Window.partitionBy(*keys).orderBy(*order)) - 1)
-    return out if most is None else out.filter(F.col("run") < most)
+    if most is None:
+        return running_totals(rows, keys, order, {"run": F.lit(1)}).withColumn("run", F.col("run") - 1)
+    # A bounded number of rows per key is cut before the shuffle.
+    return rows.withColumn("run", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).filter(F.col("run") <= most).withColumn("run", F.col("run") - 1)
 
 
 def slice_lines(lines: Column, start: Column, end: Column) -> Column:

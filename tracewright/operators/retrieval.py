@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tracewright.functions.text import identifiers, split_lines, words
+from tracewright.operators.ordering import running_totals
 from tracewright.session import cut_lineage
 
 #: Names that come first for the rule-based ranking, in this order.
@@ -23,27 +24,29 @@ def chunk_files(files: DataFrame, size: int = 80, overlap: int = 20, max_chunks:
     """Windows of ``size`` lines that share ``overlap`` lines, until one reaches the end of its file; blank windows are left out.
 
     Result: repo, path, chunk_seq (from 0, by path and start), start, end, content. The first
-    ``max_chunks`` windows of a repository are kept, in path order; None keeps all.
+    ``max_chunks`` windows of a repository are kept, in path order; None keeps all. A path counts
+    once per repository; null and empty texts have no windows.
+
+    Windows are counted per file first. The numbers come from running totals over those counts, so
+    a hot repository's texts never meet in one task, and files past the limit are not cut at all.
     """
     if size < 1 or not 0 <= overlap < size:
         raise ValueError("size must be positive and overlap at least 0 and below it")
     step = size - overlap
-    lined = files.select(repo, "path", split_lines(F.col("text")).alias("lines")).filter("size(lines) > 0")
-    starts = F.sequence(F.lit(0), F.greatest(F.lit(0), F.size("lines") - 1), F.lit(step))
-    windows = (
-        lined.select(repo, "path", "lines", F.explode(starts).alias("i"))
-        .filter((F.col("i") == 0) | (F.col("i") - step + size < F.size("lines")))
-        .select(
-            repo,
-            "path",
-            (F.col("i") + 1).alias("start"),
-            F.least(F.col("i") + size, F.size("lines")).alias("end"),
-            F.array_join(F.slice("lines", F.col("i") + 1, size), "\n").alias("content"),
-        )
-        .filter(F.col("content").rlike(r"(?U)\S"))
+    n = F.size("lines")
+    lined = files.select(repo, "path", split_lines(F.col("text")).alias("lines")).filter("size(lines) > 0").dropDuplicates([repo, "path"])
+    starts = F.filter(F.sequence(F.lit(0), n - 1, F.lit(step)), lambda i: (i == 0) | (i - step + size < n))
+    window = lambda i: F.struct((i + 1).alias("start"), F.least(i + size, n).alias("end"), F.array_join(F.slice("lines", i + 1, size), "\n").alias("content"))
+    cut = lined.select(repo, "path", F.filter(F.transform(starts, window), lambda w: w["content"].rlike(r"(?U)\S")).alias("windows"))
+    counted = running_totals(cut.select(repo, "path", F.size("windows").alias("own")), [repo], ["path"], {"upto": F.col("own")})
+    first = counted.select(repo, "path", (F.col("upto") - F.col("own")).alias("first"))
+    if max_chunks is not None:
+        first = first.filter(F.col("first") < max_chunks)
+    numbered = (
+        cut.join(first, [repo, "path"])
+        .select(repo, "path", "first", F.posexplode("windows").alias("pos", "w"))
+        .select(repo, "path", "w.start", "w.end", "w.content", (F.col("first") + F.col("pos")).alias("chunk_seq"))
     )
-    order = Window.partitionBy(repo).orderBy("path", "start")
-    numbered = windows.withColumn("chunk_seq", F.row_number().over(order) - 1)
     return numbered if max_chunks is None else numbered.filter(F.col("chunk_seq") < max_chunks)
 
 

@@ -37,10 +37,10 @@ def finished_cases(rows: DataFrame, budgets: int) -> DataFrame:
     )
 
 
-def pending_cases(cases: DataFrame, rows: DataFrame, budgets: int) -> DataFrame:
-    """Cases still to run, per explorer that has any row."""
-    explorers = rows.select("explorer").distinct()
-    return cases.join(F.broadcast(explorers)).join(finished_cases(rows, budgets), ["explorer", "instance_id"], "left_anti")
+def pending_cases(cases: DataFrame, rows: DataFrame, budgets: int, explorers: Sequence[str]) -> DataFrame:
+    """Cases still to run, for each of the given explorers."""
+    wanted = cases.withColumn("explorer", F.explode(F.array(*[F.lit(x) for x in explorers])))
+    return wanted.join(finished_cases(rows, budgets), ["explorer", "instance_id"], "left_anti")
 
 
 def outcome_summary(rows: DataFrame, cases: int, keys: Sequence[str] = ("explorer", "top_k")) -> DataFrame:

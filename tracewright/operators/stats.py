@@ -10,6 +10,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tracewright.operators.ordering import running_totals
+
 # Bounds of length classes; commands by what they do.
 LENGTH_BOUNDS = (1, 5, 10, 20, 50, 100, 200, 500, 1000)
 READ_COMMANDS = "cat nl ls grep head tail find which whereis type file stat readlink dirname basename pwd echo printenv env export cd pushd popd".split()
@@ -66,8 +68,7 @@ def upper_order_statistic(value: str, keys: Sequence[str], df: DataFrame, marks:
 
     ``marks`` maps a name to a 0-based position as a column over n, the number of values.
     """
-    order = Window.partitionBy(*keys).orderBy(value)
-    ranked = df.filter(F.col(value).isNotNull()).withColumn("__i", F.row_number().over(order) - 1)
+    ranked = running_totals(df.filter(F.col(value).isNotNull()).select(*keys, value), list(keys), [value], {"__n": F.lit(1)}).withColumn("__i", F.col("__n") - 1)
     sizes = df.groupBy(*keys).agg(F.count(value).alias("n"))
     joined = ranked.join(sizes, list(keys))
     return joined.groupBy(*keys).agg(*[F.max(F.when(F.col("__i") == p, F.col(value))).alias(name) for name, p in marks.items()])

@@ -99,7 +99,7 @@ def latest_row(spark, d):
 
 def resume_reconcile(spark, d):
     cases = table(spark, d, "customer").select(F.col("c_custkey").alias("instance_id"))
-    return runs.pending_cases(cases, _results(spark, d), 2)
+    return runs.pending_cases(cases, _results(spark, d), 2, ["1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW"])
 
 
 def outcome_summary(spark, d):
