@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tracewright.llm.endings import BLANKS, ending
+from tracewright.session import cut_lineage
 
 #: A last line ends texts of its source if this share of them, after this many different passages, end so.
 LINE_SHARE, LINE_TEXTS = 0.001, 3
@@ -54,7 +55,8 @@ def judged(documents: DataFrame) -> DataFrame:
         "text",
         F.col("text").rlike(r"(?m)^\[?\d{4}-\d\d-\d\d[ T]\d\d:\d\d\S*\]? +\[?[A-Z]{4,8}\b").alias("log"),
     )
-    states = texts.mapInPandas(_judge, SCHEMA)
+    # A few bytes per text, read by three plans below: written once, so each text is read once.
+    states = cut_lineage(texts.mapInPandas(_judge, SCHEMA))
     per_source = (
         states.groupBy("source")
         .agg(
