@@ -14,8 +14,7 @@ from tracewright.streaming import events as ev
 
 def _messages(spark, d) -> DataFrame:
     m = views.messages(spark, d).withColumn("content", F.coalesce("content", F.lit("")))
-    one = m.groupBy("traj_id", "step_idx").agg(F.min_by(F.struct("role", "content", "tool_calls", "tool_call_id"), "msg_id").alias("x"))
-    return one.select("traj_id", "step_idx", "x.*")
+    return m.select("traj_id", "step_idx", "role", "content", "tool_calls", "tool_call_id")
 
 
 def run_numbering(spark: SparkSession, d: str) -> DataFrame:

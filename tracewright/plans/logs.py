@@ -50,9 +50,8 @@ def diff_files(spark, d):
 
 
 def next_contents(spark, d):
-    m = table(spark, d, "messages").filter("step_idx is not null").select("msg_id", "traj_id", "step_idx", "content").dropDuplicates(["msg_id"])
-    one = runs.latest_rows(m, ["traj_id", "step_idx"], ["msg_id"])
-    return ex.with_next_content(one).select("traj_id", "step_idx", F.length("next_content").alias("n"))
+    m = views.messages(spark, d).select("traj_id", "step_idx", "content")
+    return ex.with_next_content(m).select("traj_id", "step_idx", F.length("next_content").alias("n"))
 
 
 def path_normalize(spark, d):

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tracewright.operators import turns
 from tracewright.sources.tables import table
 
 
@@ -50,11 +51,8 @@ def preds(spark: SparkSession, d: str) -> DataFrame:
 
 
 def messages(spark: SparkSession, d: str) -> DataFrame:
-    """Messages that have a step, once each."""
-    return (
-        table(spark, d, "messages").filter("step_idx is not null and traj_id is not null").dropDuplicates(["msg_id"])
-        .withColumn("role", F.lower(F.trim("role")))
-    )
+    """All messages, once each, with their speaker as role and their place in the conversation as step_idx."""
+    return turns.numbered_messages(table(spark, d, "messages"))
 
 
 #: Common table expressions, to be put before a statement by :func:`with_views`. L lists the lines of
