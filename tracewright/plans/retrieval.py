@@ -33,7 +33,7 @@ def _asked(spark, d) -> DataFrame:
 
 
 def chunk_documents(spark: SparkSession, d: str) -> DataFrame:
-    c = rt.chunk_files(_files(spark, d), 10, 2)
+    c = rt.chunk_files(_files(spark, d), 10, 2, None)
     return c.select("repo", "path", "chunk_seq", "start", "end", F.length("content").alias("n"))
 
 
