@@ -2,6 +2,7 @@ from datetime import datetime
 
 import pytest
 
+from tracewright.operators import normalize as nz
 from tracewright.plans import formats, intervals, logs
 
 CALL = "struct<id string, type string, function struct<name string, arguments string>>"
@@ -34,3 +35,12 @@ def test_messages_without_step_are_kept_in_order(spark, rows, folder):
     assert sorted(s for t, s in last if t == 3) == list(range(3, 11)) and len(last) == 6 + 6 + 8
     after = {(t, s): n for t, s, n in rows(logs.next_contents(spark, folder))}
     assert len(after) == 23 and [after[2, s] for s in range(6)] == [1, 3, 1, 6, 4, None] and after[3, 4] == 0
+
+
+def test_action_views_cover_the_whole_output(spark, rows, tmp_path):
+    talk = [("user", "go", None, None), ("assistant", "", [("a", "function", ("f", "{}"))], None), ("tool", "x" * 3000, None, "a")]
+    data = [(i, 7, "i", i, role, content, None, calls, answers, datetime(2024, 1, 1, 0, i)) for i, (role, content, calls, answers) in enumerate(talk)]
+    spark.createDataFrame(data, MESSAGES).write.parquet(str(tmp_path / "messages.parquet"))
+    assert rows(formats.action_views(spark, str(tmp_path))) == [(7, 1, "f", 3000)]
+    m = spark.createDataFrame(data, MESSAGES)
+    assert [len(nz.action_view(m, *most).first()["output"]) for most in ((), (10,), (None,))] == [2000, 10, 3000]

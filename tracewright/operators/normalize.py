@@ -193,13 +193,13 @@ def context_regions(core: DataFrame, optional: DataFrame, mode: str) -> DataFram
     return own.unionByName(optional.select(*cols).distinct().join(own, cols, "left_anti"))
 
 
-def action_view(messages: DataFrame, most: int = 2000) -> DataFrame:
-    """Step-numbered tool calls with the output that follows: traj_id, step_no from 1, name, arguments, output cut to ``most``."""
+def action_view(messages: DataFrame, most: int | None = 2000) -> DataFrame:
+    """Step-numbered tool calls with the output that follows: traj_id, step_no from 1, name, arguments, output cut to ``most``; None keeps all of it."""
     w = Window.partitionBy("traj_id").orderBy("step_idx")
     nxt = messages.withColumn("next_role", F.lead("role").over(w)).withColumn("next_content", F.lead("content").over(w))
     calls = nxt.filter("role = 'assistant'").select("traj_id", "step_idx", "next_role", "next_content", F.posexplode("tool_calls").alias("pos", "c"))
     order = Window.partitionBy("traj_id").orderBy("step_idx", "pos")
-    out = F.when(F.col("next_role") == "tool", F.left("next_content", F.lit(most)))
+    out = F.when(F.col("next_role") == "tool", F.col("next_content") if most is None else F.left("next_content", F.lit(most)))
     return calls.select("traj_id", F.row_number().over(order).alias("step_no"), F.col("c.function.name").alias("name"), F.col("c.function.arguments").alias("arguments"), out.alias("output"))
 
 

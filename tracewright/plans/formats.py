@@ -48,7 +48,7 @@ def issue_texts(spark, d):
 
 
 def action_views(spark, d):
-    v = nz.action_view(_messages(spark, d), 50)
+    v = nz.action_view(_messages(spark, d), None)
     return v.select("traj_id", "step_no", "name", F.length("output").alias("n"))
 
 
