@@ -19,7 +19,7 @@ def _messages(spark, d) -> DataFrame:
 
 def run_numbering(spark: SparkSession, d: str) -> DataFrame:
     t = table(spark, d, "trajectories").select("traj_id", "instance_id").distinct()
-    return nz.number_runs(t, ["instance_id"], ["traj_id"], 3)
+    return nz.number_runs(t, ["instance_id"], ["traj_id"])
 
 
 def unified_openhands(spark, d):
