@@ -53,40 +53,8 @@ def tagged_fields(records: DataFrame, id_field: str = "id") -> DataFrame:
     )
 
 
-def unified_table(records: DataFrame, id_field: str = "id") -> DataFrame:
-    """Every line of every file in one schema: a tagged union per path.
-
-    Each field keeps all alternative types as typed branches and a canonical text:
-    fields MAP<field, STRUCT<kind, as_string, as_number, as_boolean, as_json>>. Invalid lines stay,
-    with a null map, so no row is lost. Repeated rec_id count once.
-    """
-    one = records.dropDuplicates(["rec_id"])
-    v = F.try_parse_json("raw_line")
-    value = lambda x: F.struct(
-        _kind(x).alias("kind"),
-        F.when(_kind(x) == "string", x.cast("string")).alias("as_string"),
-        F.when(_kind(x) == "number", F.try_variant_get(x, "$", "double")).alias("as_number"),
-        F.when(_kind(x) == "boolean", F.try_variant_get(x, "$", "boolean")).alias("as_boolean"),
-        _canonical(x).alias("as_json"),
-    )
-    as_map = F.when(F.schema_of_variant(v).startswith("OBJECT"), v).cast("map<string,variant>")
-    return one.select(
-        "rec_id", "feed", "file_name", "line_no", F.transform_values(as_map, lambda _, x: value(x)).alias("fields")
-    )
-
-
-def file_changes(records: DataFrame, id_field: str = "id") -> DataFrame:
-    """Changes of each file against the previous file of its feed, in order of file_name.
-
-    Result: file_name, change_kind (added, removed, renamed, retyped), field_name, new_value.
-
-    Types per (feed, file, field) are fused with a map-side aggregate; what follows works on a few
-    rows per file. A renaming is proved by records that the next file sends again: those with the
-    same ``id_field`` in both files must agree under the old and the new key. Where fewer than two
-    of them carry both keys, at least half of all distinct values must be common. A key takes part
-    in one renaming only: the one with most agreeing records. Files without valid lines have no
-    fields; the first file of a feed has no changes; rows without feed or file_name are left out.
-    """
+def _compared(records: DataFrame, id_field: str) -> tuple[DataFrame, ...]:
+    """files with their number, fields that are new, old and of another type, gone, came, and the renamings among them."""
     records = records.filter("feed is not null and file_name is not null")
     order = Window.partitionBy("feed").orderBy("file_name")
     files = records.select("feed", "file_name").distinct().withColumn("n", F.row_number().over(order))
@@ -148,6 +116,22 @@ def file_changes(records: DataFrame, id_field: str = "id") -> DataFrame:
         .filter("r1 = 1 and r2 = 1")
         .select(*pair)
     )
+    return files, new, old, both, gone, came, renamed
+
+
+def file_changes(records: DataFrame, id_field: str = "id") -> DataFrame:
+    """Changes of each file against the previous file of its feed, in order of file_name.
+
+    Result: file_name, change_kind (added, removed, renamed, retyped), field_name, new_value.
+
+    Types per (feed, file, field) are fused with a map-side aggregate; what follows works on a few
+    rows per file. A renaming is proved by records that the next file sends again: those with the
+    same ``id_field`` in both files must agree under the old and the new key. Where fewer than two
+    of them carry both keys, at least half of all distinct values must be common. A key takes part
+    in one renaming only: the one with most agreeing records. Files without valid lines have no
+    fields; the first file of a feed has no changes; rows without feed or file_name are left out.
+    """
+    files, new, old, both, gone, came, renamed = _compared(records, id_field)
     old_renamed = renamed.select("feed", "n", F.col("old_field").alias("field"))
     new_renamed = renamed.select("feed", "n", F.col("new_field").alias("field"))
     kinds = lambda c: F.lit(c).alias("change_kind")
@@ -165,3 +149,51 @@ def file_changes(records: DataFrame, id_field: str = "id") -> DataFrame:
         )
     )
     return changes.join(files, ["feed", "n"]).select("file_name", "change_kind", F.col("field").alias("field_name"), "new_value")
+
+
+def field_names(records: DataFrame, id_field: str = "id") -> DataFrame:
+    """The one name of each key of each file: feed, file_name, field, name.
+
+    The renamings that :func:`file_changes` finds are followed back to the name the field had first in
+    its feed. Where that is the name of two keys of one file, the renamed field keeps it (the first
+    by key of several), and the others have their own key added in brackets.
+    """
+    files, *_, renamed = _compared(records, id_field)
+    back = F.reverse(F.array_sort(F.collect_list(F.struct("n", "old_field", "new_field"))))
+    chains = renamed.groupBy("feed").agg(back.alias("chain"))
+    v = F.try_parse_json("raw_line")
+    keys = F.explode(F.map_keys(F.when(F.schema_of_variant(v).startswith("OBJECT"), v).cast("map<string,variant>")))
+    known = records.select("feed", "file_name", keys.alias("field")).distinct().join(files, ["feed", "file_name"])
+    step = lambda name, r: F.when((r["n"] <= F.col("n")) & (r["new_field"] == name), r["old_field"]).otherwise(name)
+    named = known.join(chains, "feed", "left").withColumn(
+        "name", F.coalesce(F.aggregate("chain", F.col("field"), step), F.col("field"))
+    )
+    same = Window.partitionBy("feed", "file_name", "name").orderBy(F.col("field") == F.col("name"), "field")
+    name = F.when(F.row_number().over(same) == 1, F.col("name")).otherwise(F.concat("name", F.lit(" ("), "field", F.lit(")")))
+    return named.select("feed", "file_name", "field", name.alias("name"))
+
+
+def unified_table(records: DataFrame, id_field: str = "id") -> DataFrame:
+    """Every line of every file in one schema: a tagged union per path.
+
+    A field that is renamed between files has one name in all of them, see :func:`field_names`. Each field keeps all alternative types as typed branches and a canonical text:
+    fields MAP<field, STRUCT<kind, as_string, as_number, as_boolean, as_json>>. Invalid lines stay,
+    with a null map, so no row is lost. Repeated rec_id count once.
+    """
+    one = records.dropDuplicates(["rec_id"])
+    v = F.try_parse_json("raw_line")
+    value = lambda x: F.struct(
+        _kind(x).alias("kind"),
+        F.when(_kind(x) == "string", x.cast("string")).alias("as_string"),
+        F.when(_kind(x) == "number", F.try_variant_get(x, "$", "double")).alias("as_number"),
+        F.when(_kind(x) == "boolean", F.try_variant_get(x, "$", "boolean")).alias("as_boolean"),
+        _canonical(x).alias("as_json"),
+    )
+    as_map = F.when(F.schema_of_variant(v).startswith("OBJECT"), v).cast("map<string,variant>")
+    names = field_names(records, id_field).groupBy("feed", "file_name").agg(
+        F.map_from_entries(F.collect_list(F.struct("field", "name"))).alias("names")
+    )
+    entry = lambda e: F.struct(F.coalesce(F.col("names")[e["key"]], e["key"]), value(e["value"]))
+    return one.join(names, ["feed", "file_name"], "left").select(
+        "rec_id", "feed", "file_name", "line_no", F.map_from_entries(F.transform(F.map_entries(as_map), entry)).alias("fields")
+    )

@@ -16,6 +16,10 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return drift.file_changes(table(spark, sf_dir, "raw_records"))
 
 
+def p5_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return drift.unified_table(table(spark, sf_dir, "raw_records"))
+
+
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = nesting.nested_nodes(table(spark, sf_dir, "opencode_events"), table(spark, sf_dir, "messages"))
     return found.select("record_kind", "record_id", "parent_path", "node_path", "node_kind")
@@ -25,7 +29,7 @@ def p6_token_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nesting.token_totals(table(spark, sf_dir, "opencode_events"))
 
 
-QUERIES = {f.__name__: f for f in (p3_found, p5_found, p6_found, p6_token_totals)}
+QUERIES = {f.__name__: f for f in (p3_found, p5_found, p5_table, p6_found, p6_token_totals)}
 
 SQL = {
     "p3_found": """
