@@ -12,40 +12,22 @@ from pyspark.sql import functions as F
 
 from tracewright.llm.endings import BLANKS, MARK, open_marks, stops_early
 from tracewright.llm.language import language
+from tracewright.llm.refusals import refuses
 
 #: Words in a shingle, and the share of a reply's shingles that must lie in the request before it is aligned.
 SHINGLE, CONTAINED = 5, 0.5
 #: A copy has at least this share of its words from the request, in order, and covers that share of it.
 FROM_REQUEST, OF_REQUEST = 0.8, 0.7
 
-#: Replies that say nothing.
-PLACEHOLDERS = frozenset(
-    "- -- --- . .. ... … ? n/a na none null nil empty nothing todo tbd tba wip undefined nan no answer <no answer> [no answer] "
-    "(no answer) <empty> (empty) [empty] <none> (none) no output (no output) no changes (no changes) <no changes> no change no reply "
-    "(no reply) placeholder {} [] \"\" ''".split()
-) | frozenset(
-    ("no answer", "<no answer>", "(no answer)", "[no answer]", "no output", "(no output)", "no changes", "(no changes)",
-     "<no changes>", "[no changes]", "no change", "no reply", "(no reply)", "no response", "<no response>", "not available", "no patch", "(no patch)")
-)
-
-#: How a task is declined. A sentence is aligned with each of them.
-REFUSALS = (
-    "I can't help with this change", "I cannot help with this", "I can not assist with this request", "I am unable to assist with that request",
-    "I am not able to work on this repository", "I won't produce a fix for this", "I will not do this", "I must decline this task",
-    "I have to decline this request", "I have to pass on this one", "I do not feel comfortable editing this code", "I'd rather not",
-    "I would rather not do this", "Request declined", "That is not something I will touch", "This falls outside what I am allowed to do",
-    "Please find somebody else for this task it is off limits for me", "Not possible for me the topic is restricted",
-    "Helping with this would go against my instructions", "Please hand this to a person with commit rights",
-    "Let's talk about something else instead of this change", "No patch from me on this one policy forbids edits to this area",
-    "My guidelines keep me from changing this project so I stop here", "I am not allowed to do this", "I refuse to do this",
-    "No me es posible preparar este cambio", "Debo rechazar esta tarea", "No puedo hacer este cambio", "No puedo atender esta solicitud", "No puedo ayudar con esta tarea", "Lo siento no puedo ayudar con eso",
-    "Leider kann ich bei dieser Aufgabe nicht helfen", "Ich darf diese Änderung nicht vornehmen", "Diese Anfrage muss ich ablehnen", "Ich kann dabei nicht helfen", "Das darf ich nicht bearbeiten",
-    "Je ne peux pas traiter cette demande", "Je dois refuser cette tâche", "Je ne peux pas aider pour cette demande", "Désolé je ne peux pas faire cette modification", "Il m'est impossible de préparer cette modification",
-    "对不起这项修改我不能处理", "抱歉我无法协助完成这个请求", "我不能帮助完成这个任务",
-)
+#: Replies that say nothing. Each is compared as a whole, in lower case, with single blanks.
+PLACEHOLDERS = frozenset((
+    "-", "--", "---", ".", "..", "...", "…", "?", "n/a", "none", "null", "nil", "nan", "undefined", "empty", "nothing", "todo", "tbd", "tba", "wip", "placeholder",
+    "{}", "[]", '""', "\'\'", "<empty>", "(empty)", "[empty]", "<none>", "(none)", "[none]", "<null>", "(null)",
+    "no answer", "<no answer>", "(no answer)", "[no answer]", "no output", "<no output>", "(no output)", "[no output]", "no changes", "<no changes>", "(no changes)", "[no changes]",
+    "no change", "no reply", "<no reply>", "(no reply)", "[no reply]", "no response", "<no response>", "(no response)", "[no response]", "not available", "no patch", "<no patch>", "(no patch)", "[no patch]",
+))
 
 _TOKEN = re.compile(r"[぀-ヿ㐀-䶿一-鿿가-힯]|[^\W_぀-ヿ㐀-䶿一-鿿가-힯]+(?:['’][^\W\d_]+)?")
-_SENTENCE = re.compile(r"(?<=[.!?])\s+|[。！？\n]+")
 _FENCES = re.compile(r"^\s*(?:```|~~~)[\w+-]*\s*$", re.MULTILINE)
 _HUNK = re.compile(r"^@@ -\d+(?:,(\d+))? \+\d+(?:,(\d+))? @@")
 _OTHER_CHANGE = re.compile(r"^(?:rename (?:from|to) |copy (?:from|to) |new file mode |deleted file mode |old mode |new mode |Binary files |GIT binary patch)")
@@ -71,39 +53,6 @@ def lcs(a: Sequence[str], b: Sequence[str]) -> int:
     return len(a) - row.bit_count()
 
 
-_TEMPLATES = [tokens(r) for r in REFUSALS]
-#: Sentences that come with a refusal but decline nothing themselves have no words of their own about code.
-_CODE_SIGN = re.compile(r"`|\w/\w|\w\(\)|\w_\w|[a-z][A-Z]|\.\w+:\d")
-
-
-def refuses(text: str) -> bool:
-    """Whether a reply declines the task: one of its sentences aligns with a template, and it says nothing about code.
-
-    A template must be found in order, nearly gapless, in the sentence. Openers, reasons and
-    closing phrases may stand around it; a reply that names files, functions or code is an answer.
-    """
-    if _CODE_SIGN.search(text):
-        return False
-    own = tokens(text)
-    if not own or len(own) > 80 + 60 * (len(text) > 0 and not text.isascii()):
-        return False
-    for sentence in _SENTENCE.split(text):
-        words = tokens(sentence)
-        if not words:
-            continue
-        have = Counter(words)
-        for template in _TEMPLATES:
-            need = len(template)
-            if len(words) < 0.8 * need or sum((have & Counter(template)).values()) < 0.85 * need:
-                continue
-            if any(
-                lcs(template, words[i : i + need + 2]) >= (need if need < 5 else 0.85 * need)
-                for i in range(max(1, len(words) - need + 1))
-            ):
-                return True
-    return False
-
-
 def copies(request: Sequence[str], reply: Sequence[str]) -> bool:
     """Whether a reply gives back all or nearly all of the request and adds nothing.
 
