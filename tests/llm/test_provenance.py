@@ -1,6 +1,9 @@
 import random
 
-from tracewright.llm.provenance import composition, file_classes
+import pytest
+from pyspark.sql import functions as F
+
+from tracewright.llm.provenance import CONTAINED, LEAST_LINES, LINE_CHARS, composition, file_classes, foreign_copies
 
 random.seed(9)
 NAMES = "cache loader router parser widget token queue socket theme ledger".split()
@@ -51,3 +54,57 @@ def test_many_copies_of_one_file(spark):
 def test_long_line():
     c = composition("x" * 1_000_000 + "\n" + "[" + "1," * 200_000 + "]")
     assert c["data_chars"] > 300_000
+
+
+def by_brute_force(files):
+    """Files of which one file of another repository holds enough lines, by comparing all pairs."""
+    sets = {k: {x.strip() for x in t.split("\n") if len(x.strip()) >= LINE_CHARS} for k, t in files.items() if t}
+    found = set()
+    for k, own in sets.items():
+        if len(own) >= LEAST_LINES and any(o[0] != k[0] and len(own & held) >= CONTAINED * len(own) for o, held in sets.items()):
+            found.add(k)
+    return found
+
+
+def copied(spark, files):
+    df = spark.createDataFrame([(r, p, 1, t) for (r, p), t in files.items()], "repo string, path string, start_line int, content string")
+    ids = df.select("repo", "path", F.xxhash64("repo", "path").alias("file_id"))
+    return {(r.repo, r.path) for r in foreign_copies(df).join(ids, "file_id").collect()}
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_equals_brute_force(spark, seed):
+    r = random.Random(seed)
+    pool = [f"    line_{i} = make_value({i})" for i in range(90)]
+    files = {}
+    for i in range(120):
+        base = r.sample(pool, r.choice([6, 10, 20, 40]))
+        own = [f"    own_{i}_{j} = 1" for j in range(r.choice([0, 2, 6, 12]))]
+        files[f"r{r.randrange(6)}", f"p{i}.py"] = "\n".join(base + own)
+        if i % 4 == 0:  # an edited copy elsewhere
+            kept = r.sample(base, int(len(base) * r.choice([0.6, 0.7, 0.8, 1.0])))
+            files[f"r{r.randrange(6)}", f"q{i}.py"] = "\n".join(kept + r.sample(pool, r.randrange(4)))
+    want = by_brute_force(files)
+    assert copied(spark, files) == want and 20 < len(want) < len(files)
+
+
+def test_fragments_elsewhere_change_nothing(spark):
+    lines = [f"    shared_name_{i} = compute_value({i}, 'x')" for i in range(40)]
+    files = {("m", "f.py"): "\n".join(lines), ("k", "g.py"): "\n".join(lines)}
+    for repo in ("a", "z", "b", "y"):
+        for n in range(5):
+            files[repo, f"part{n}.py"] = "\n".join(lines[8 * n : 8 * n + 8] + [f"    other_{repo}_{n}_{j} = 2" for j in range(30)])
+    assert copied(spark, files) == {("m", "f.py"), ("k", "g.py")} == by_brute_force(files)
+
+
+def test_a_third_of_all_files_are_alike_but_not_alike_enough(spark):
+    r = random.Random(3)
+    lines = [f"    common_name_{i} = compute_value({i}, 'x')" for i in range(40)]
+    files = {(f"r{i}", "a.py"): "\n".join(r.sample(lines, 33) + [f"    own_{i}_{j} = 3" for j in range(8)]) for i in range(60)}
+    assert copied(spark, files) == by_brute_force(files)
+
+
+def test_files_of_few_lines_and_one_repository(spark):
+    few = "\n".join(f"    name_{i} = compute({i})" for i in range(LEAST_LINES - 1))
+    own = "\n".join(f"    value_{i} = compute({i})" for i in range(20))
+    assert copied(spark, {("a", "x"): few, ("b", "y"): few, ("c", "x"): own, ("c", "y"): own}) == set()

@@ -7,9 +7,11 @@ from collections import Counter
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tracewright.session import cut_lineage
+
 #: A line of fewer characters, without outer blanks, is too common to tell where a file comes from.
 LINE_CHARS = 12
 #: Share of a file's lines that must lie in one file of another repository, and the least number of lines.
@@ -133,44 +135,105 @@ def line_index(chunks: DataFrame) -> DataFrame:
     )
 
 
+def _contained(pairs: DataFrame, own: DataFrame, held: DataFrame) -> DataFrame:
+    """file_id of those (file_id, other_id) pairs in which the other file holds enough lines, counted over all lines."""
+    return (
+        pairs.join(own.select("file_id", "line", "total"), "file_id")
+        .join(held.select(F.col("file_id").alias("other_id"), "line"), ["other_id", "line"])
+        .groupBy("file_id", "other_id")
+        .agg((F.count("*") >= CONTAINED * F.max("total")).alias("holds"))
+        .filter("holds")
+        .select("file_id")
+        .distinct()
+    )
+
+
+def _by_star(own: DataFrame, held: DataFrame, turn: int) -> DataFrame:
+    """file_id of files that lie in a representative: per line, the files of the first and last repository of a random order.
+
+    Each line names at most two files instead of all that hold it, so a library that lies in every
+    repository costs no more than its lines. A file is compared, over all its lines, with the
+    representative that its rare lines name most.
+    """
+    place = F.struct(F.xxhash64("repo_id", F.lit(turn)).alias("at"), "repo_id", F.xxhash64("file_id", F.lit(turn)).alias("then"), "file_id")
+    ends = (
+        held.join(own.select("line").distinct(), "line", "left_semi")
+        .groupBy("line").agg(F.min(place).alias("low"), F.max(place).alias("high"))
+        .select("line", "low.repo_id", F.col("low.file_id").alias("low_id"), F.col("high.file_id").alias("high_id"))
+        .withColumnRenamed("repo_id", "low_repo")
+    )
+    met = (
+        own.join(ends, "line")
+        .withColumn("other_id", F.when(F.col("low_repo") == F.col("repo_id"), F.col("high_id")).otherwise(F.col("low_id")))
+        .groupBy("file_id", "other_id").agg(F.sum(1 / F.col("files")).alias("votes"))
+    )
+    best = met.groupBy("file_id").agg(F.max_by("other_id", F.struct("votes", "other_id")).alias("other_id"))
+    return _contained(best, own, held)
+
+
+def _by_rare_lines(own: DataFrame, held: DataFrame) -> DataFrame:
+    """file_id of files that lie in any file of another repository, by prefix filtering: nothing is missed.
+
+    A file that holds at least ceil(CONTAINED * n) of n lines misses at most n minus that many, so it
+    holds one of any n - ceil(CONTAINED * n) + 1 of them. The rarest are taken. Lines that no other
+    repository holds belong to them but lead nowhere.
+    """
+    total = F.col("total")
+    misses = total - F.ceil(CONTAINED * total) + 1
+    rarest = Window.partitionBy("file_id").orderBy("files", "line")  # at most the lines of one file
+    prefix = own.withColumn("at", F.row_number().over(rarest)).filter(F.col("at") <= misses - (total - F.col("shared"))).select("file_id", "repo_id", "line")
+    other = held.select(F.col("repo_id").alias("other_repo"), F.col("file_id").alias("other_id"), "line")
+    pairs = prefix.join(other, "line").filter("repo_id <> other_repo").select("file_id", "other_id").distinct()
+    return _contained(pairs, own, held)
+
+
 def foreign_copies(chunks: DataFrame) -> DataFrame:
-    """file_id of every file most of whose lines lie in one file of another repository.
-
-    A line that occurs in two or more repositories names two representatives: the files of the
-    least and of the greatest repository that hold it. A file meets, for each of its lines, the
-    representative from another repository: one candidate per line, never all pairs of the files
-    that share it, so a library that lies in every repository costs no more than its lines. Rare
-    lines decide which candidates are kept: each votes with the inverse of the number of files that
-    hold it. The containment in the candidate is then counted exactly, over all lines.
+    """file_id of every file of at least LEAST_LINES distinct lines, a share of CONTAINED of which lies in one file of another repository.
+
+    Exact: the result is that of comparing all pairs of files. Lines are stored once, marked with
+    whether a second repository holds them (a count that is combined before the shuffle). Files
+    with too few such lines drop out; in files of one text that lies in several repositories
+    nothing is left to compare. The others meet the representatives of their lines
+    (:func:`_by_star`), again with another order while that settles a fifth of them, and what is
+    still open meets every file that holds one of its rarest lines (:func:`_by_rare_lines`).
     """
     lines = line_index(chunks)
-    holder = F.struct("repo_id", "file_id")
-    shared = (
+    spread = (
         lines.groupBy("line")
-        .agg(F.min(holder).alias("low"), F.max(holder).alias("high"), F.count("*").alias("files"))
-        .filter("low.repo_id <> high.repo_id")
+        .agg(F.min("repo_id").alias("least"), F.max("repo_id").alias("greatest"), F.count("*").alias("files"))
+        .filter("least <> greatest")
+        .select("line", "files")
     )
-    met = (
-        lines.join(shared, "line")
-        .withColumn("other", F.when(F.col("low.repo_id") == F.col("repo_id"), F.col("high")).otherwise(F.col("low")))
-        .groupBy("file_id", F.col("other.file_id").alias("other_id"))
-        .agg(F.count("*").alias("met"), F.sum(1 / F.col("files")).alias("votes"))
-    )
-    total = lines.groupBy("file_id").agg(F.count("*").alias("total")).filter(F.col("total") >= LEAST_LINES)
-    # The star shows only lines that no smaller repository holds, so a part of the containment is enough here.
-    likely = met.join(total, "file_id").filter(F.col("met") >= 0.15 * F.col("total"))
-    best = likely.groupBy("file_id").agg(F.max("total").alias("total"), F.max_by(F.struct("other_id", "met"), "votes").alias("best"))
-    sure = best.filter(F.col("best.met") >= CONTAINED * F.col("total")).select("file_id")
-    open_pairs = best.filter(F.col("best.met") < CONTAINED * F.col("total")).select("file_id", "total", F.col("best.other_id").alias("other_id"))
-    exact = (
-        open_pairs.join(lines.select("file_id", "line"), "file_id")
-        .join(lines.select(F.col("file_id").alias("other_id"), "line"), ["other_id", "line"])
-        .groupBy("file_id")
-        .agg(F.count("*").alias("common"), F.max("total").alias("total"))
-        .filter(F.col("common") >= CONTAINED * F.col("total"))
-        .select("file_id")
+    marked = cut_lineage(lines.join(spread, "line", "left"))
+    held = marked.filter("files is not null")
+    per_file = (
+        marked.groupBy("repo_id", "file_id")
+        .agg(F.count("*").alias("total"), F.count("files").alias("shared"), F.bit_xor("line").alias("x"), F.bit_xor(F.xxhash64("line")).alias("y"))
+        .filter((F.col("total") >= LEAST_LINES) & (F.col("shared") >= F.ceil(CONTAINED * F.col("total"))))
     )
-    return sure.unionByName(exact)
+    # Files of the same lines are one class, which is found if it lies in two repositories; else one file of it is compared.
+    text = ["total", "x", "y"]
+    likely = cut_lineage(per_file)
+    classes = likely.groupBy(*text).agg(F.min("repo_id").alias("least"), F.max("repo_id").alias("greatest"), F.min("file_id").alias("one"))
+    open_files = classes.filter("least = greatest").select(F.col("one").alias("file_id"))
+    own = cut_lineage(held.join(likely.join(open_files, "file_id", "left_semi").select("file_id", "total", "shared"), "file_id"))
+    found = None
+    left = open_files.count()
+    turn = 0
+    while left:
+        settled = cut_lineage(_by_star(own, held, turn))
+        n = settled.count()
+        found = settled if found is None else found.unionByName(settled)
+        if n:
+            own = own.join(settled, "file_id", "left_anti")
+        if 5 * n < left:
+            found = found.unionByName(_by_rare_lines(own, held))
+            break
+        left, turn = left - n, turn + 1
+    copied = classes.filter("least <> greatest").select(*text)
+    if found is not None:
+        copied = copied.unionByName(classes.join(found, F.col("one") == F.col("file_id"), "left_semi").select(*text))
+    return likely.join(copied, text, "left_semi").select("file_id")
 
 
 def file_classes(chunks: DataFrame) -> DataFrame:
