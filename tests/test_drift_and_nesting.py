@@ -1,7 +1,9 @@
 import json
 
+from pyspark.sql import functions as F
+
 from tracewright.operators.drift import file_changes, unified_table
-from tracewright.operators.nesting import child_table, decode, merged_paths, nested_nodes, nodes, token_totals
+from tracewright.operators.nesting import KEY, child_table, decoded, merged_paths, nested_nodes, token_totals
 
 RAW = "rec_id bigint, feed string, file_name string, line_no int, raw_line string, kind string"
 
@@ -46,22 +48,48 @@ def test_unified_table_keeps_all_lines_and_types(spark):
     assert got[1]["x"].as_json == got[2]["x"].as_json == "1" and got[2]["z"].as_boolean is True
 
 
-def test_decode():
-    assert decode('{"a": 1}') == {"a": 1} and decode(json.dumps('[{"a": 1}]')) == [{"a": 1}]
-    assert decode("<task>\n<task_result>\n[1]\n</task_result>", tagged=True) == [1]
-    for bad in (None, "", "11", '"x"', "{emit}", "[ok] done", '{"a": NaN}', "[" * 100_000, json.dumps(json.dumps("{}"))):
-        assert decode(bad) is None
+def test_decoded(spark):
+    good = ['{"a": 1}', json.dumps('[{"a": 1}]'), "<task>\n<task_result>\n[1]\n</task_result>", " [] ", '{"a": "]}]]"}']
+    bad = [None, "", "11", '"x"', "{emit}", "[ok] done", '{"a": NaN}', "[" * 100_000, json.dumps(json.dumps("{}")), '{"a": 1} done', '{"a": 1} {"b": 2}', '{"a": 1}], [2', '{"a": 1}, {"b": 2}', '{"a": 1', json.dumps("3")]
+    df = spark.createDataFrame(list(enumerate(good + bad)), "i int, text string")
+    got = {r.i: r.v for r in decoded(df, ["i"], F.col("text"), tagged=True).select("i", F.col("open").cast("string").alias("v")).collect()}
+    assert got == {0: '{"a":1}', 1: '[{"a":1}]', 2: "[1]", 3: "[]", 4: '{"a":"]}]]"}'}
+
+
+def nodes_of(spark, *values):
+    e = spark.createDataFrame([(i, "s", ((v if isinstance(v, str) else json.dumps(v),), None)) for i, v in enumerate(values)], EVENT)
+    m = spark.createDataFrame([], MSG)
+    return sorted(tuple(r)[1:] for r in nested_nodes(e, m).select(*KEY).collect())
 
 
-def test_nodes():
-    value = {"files": {"path": "a", "hits": [{"l": 1}, None, {"l": 2}]}, "subtasks": [{"subtasks": [{"files": []}]}], "stats": {"by": {"m": 1}}, "tags": [{"no": 1}]}
-    got = sorted((p, n, k) for p, n, k, _ in nodes(value))
-    assert got == [("", "0", "files"), ("", "0", "subtasks"), ("0", "0.0", "hits"), ("0", "0.0", "subtasks"), ("0", "0.2", "hits")]
-    assert [n[:3] for n in nodes([None, {"a": 1}], "", "items")] == [("", "1", "items")]
+def by_walking(value, path="", above="", kind=None):
+    """The nodes of one value, one after the other."""
+    if isinstance(value, list):
+        for i, x in enumerate(value):
+            here = f"{path}.{i}" if path else str(i)
+            if isinstance(x, dict):
+                yield above, here, kind
+                yield from by_walking(x, here, here)
+            elif isinstance(x, list):
+                yield from by_walking(x, here, above, kind)
+    elif isinstance(value, dict):
+        for k, x in value.items():
+            if k in ("subtasks", "files", "hits", "edits", "hunks"):
+                yield from by_walking(x if isinstance(x, list) else [x], path, above, k)
+            elif isinstance(x, dict):
+                yield from by_walking(x, path, above)
+
+
+def test_nodes(spark):
     deep = {}
-    for _ in range(3000):
-        deep = {"files": deep}
-    assert sum(1 for _ in nodes(deep)) == 3000
+    for _ in range(40):
+        deep = {"files": [deep]}
+    values = [
+        {"files": {"path": "a", "hits": [{"l": 1}, None, {"l": 2}, 5, [{"n": 1}]]}, "subtasks": [{"subtasks": [{"files": []}]}], "stats": {"by": {"m": 1, "edits": {}}}, "tags": [{"no": 1}]},
+        [None, {"a": 1, "files": [{}]}, [{"hits": {"x": 1}}], "t"], [[[{"a": {"hunks": [1, {"e": '"]['}]}}]]], {}, [], deep,
+    ]
+    want = sorted((i, *n) for i, v in enumerate(values) for n in by_walking(v, kind="items" if isinstance(v, list) else None))
+    assert nodes_of(spark, *values) == want and len(want) > 50
 
 
 MSG = "msg_id bigint, tool_calls array<struct<id string, type string, function struct<name string, arguments string>>>, fields string"
@@ -81,6 +109,8 @@ def test_nested_nodes_and_child_tables(spark, rows):
     ]
     assert rows(found, "record_kind", "record_id", "parent_path", "node_path", "node_kind") == want
     assert rows(child_table(found, "hunks"), "parent_path", "ordinal") == [("0.0", 0)]
+    assert rows(child_table(found, "files"), "record_id", "parent_path", "fields") == [(7, "0", {"p": "1"})]
+    assert rows(nested_nodes(e, m, values=False)) == want
     assert ("message", "hunks", "start", "BIGINT", 1) in rows(merged_paths(found))
     assert nested_nodes(e.limit(0), m.limit(0)).count() == 0
 

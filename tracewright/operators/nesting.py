@@ -2,133 +2,121 @@
 
 from __future__ import annotations
 
-import json
-import re
-from collections.abc import Iterator
-
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tracewright.functions.variants import is_array, is_object, levels, strict_json, worked_out
+from tracewright.session import cut_lineage
+
 #: Keys under which lists of objects lie, and the tag that may enclose a result.
 LIST_KEYS = ("subtasks", "files", "hits", "edits", "hunks")
-RESULT_TAG = re.compile(r"<task_result>(.*?)</task_result>", re.DOTALL)
-
-NODE_SCHEMA = "record_kind string, record_id bigint, parent_path string, node_path string, node_kind string, fields string"
+RESULT_TAG = r"(?s)<task_result>(.*?)</task_result>"
 
+#: Levels that are opened in one plan; what lies deeper is opened in further ones.
+MOST_LEVELS = 12
 
-def _no_constant(name: str) -> None:
-    raise ValueError(name)
+KEY = ["record_kind", "record_id", "parent_path", "node_path", "node_kind"]
 
 
-def decode(text: str | None, tagged: bool = False) -> object:
-    """The JSON object or list in ``text``, which may be encoded once more as a JSON string; else None."""
-    if text is None:
-        return None
-    if tagged and (m := RESULT_TAG.search(text)):
-        text = m.group(1)
-    head = text.lstrip()[:1]
-    if head not in ("{", "[", '"'):
-        return None
-    try:
-        value = json.loads(text, parse_constant=_no_constant)
-        if isinstance(value, str):
-            value = json.loads(value, parse_constant=_no_constant)
-    except (ValueError, RecursionError):
-        return None
-    return value if isinstance(value, (dict, list)) else None
+def decoded(df: DataFrame, keys: list[str], text: Column, tagged: bool = False) -> DataFrame:
+    """``keys`` and, as ``open``, the JSON object or list in ``text``, which may be encoded once more as a JSON string; others are left out."""
+    if tagged:
+        text = F.when(text.contains("<task_result>") & text.rlike(RESULT_TAG), F.regexp_extract(text, RESULT_TAG, 1)).otherwise(text)
+    texts = worked_out(df, keys, text, "__t").filter(F.col("__t").rlike(r'^\s*[\[{"]'))
+    return strict_json(texts, keys, F.col("__t"), "open", twice=True).filter(is_object(F.col("open")) | is_array(F.col("open")))
 
 
-def nodes(value: object, prefix: str = "", top_kind: str | None = None) -> Iterator[tuple[str, str, str, dict]]:
-    """(parent_path, node_path, node_kind, object) of every object in a list, level by level.
+def _open_level(rows: DataFrame, values: bool) -> DataFrame:
+    """Opens one level: an object with its fields, or a list (``list_kind`` says under which key) with its positions.
 
-    A work list instead of recursion: depth is bounded by the text, not by the stack.
+    A node found is emitted twice, once finished (``open`` is a list of one that keeps it in the
+    next level) and once to be opened itself. Finished rows pass.
     """
-    work = [(value, prefix, top_kind)]
-    while work:
-        at, path, kind = work.pop()
-        if isinstance(at, list):
-            if kind is None:
-                continue
-            for i, item in enumerate(at):
-                here = f"{path}.{i}" if path else str(i)
-                if isinstance(item, dict):
-                    yield path, here, kind, item
-                    work.append((item, here, None))
-                elif isinstance(item, list):
-                    work.append((item, here, kind))
-        elif isinstance(at, dict):
-            for key, inner in at.items():
-                if key in LIST_KEYS:
-                    work.append((inner if isinstance(inner, list) else [inner], path, key))
-                elif isinstance(inner, dict):
-                    work.append((inner, path, None))
-
-
-def scalars(item: dict) -> str:
-    return json.dumps({k: v for k, v in item.items() if k not in LIST_KEYS}, ensure_ascii=False, sort_keys=True)
-
-
-def _event_nodes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for batch in batches:
-        rows = []
-        for key, text in zip(batch["record_id"], batch["text"]):
-            value = decode(text, tagged=True)
-            if value is not None:
-                kind = "items" if isinstance(value, list) else None
-                rows += [("event", key, *n[:3], scalars(n[3])) for n in nodes(value, "", kind)]
-        yield pd.DataFrame(rows, columns=["record_kind", "record_id", "parent_path", "node_path", "node_kind", "fields"])
-
-
-def _message_nodes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for batch in batches:
-        rows = []
-        for key, at, call, text in zip(batch["record_id"], batch["at"], batch["call"], batch["arguments"]):
-            path = str(at)
-            rows.append(("message", key, "", path, "tool_calls", call))
-            value = decode(text)
-            if isinstance(value, dict):
-                rows += [("message", key, *n[:3], scalars(n[3])) for n in nodes(value, path)]
-        yield pd.DataFrame(rows, columns=["record_kind", "record_id", "parent_path", "node_path", "node_kind", "fields"])
-
-
-def nested_nodes(events: DataFrame, messages: DataFrame) -> DataFrame:
+    inner = rows.lateralJoin(rows.sparkSession.tvf.variant_explode(F.col("open").outer()))
+    done = F.col("finished")
+    in_list = F.col("list_kind").isNotNull()
+    listed = F.col("key").isin(*LIST_KEYS)
+    told = inner.filter(done | in_list | F.col("key").isNotNull()).withColumns({"o": ~done & is_object(F.col("value")), "a": ~done & is_array(F.col("value"))})
+    step = lambda at: F.when(F.col("at_path") == "", at.cast("string")).otherwise(F.concat("at_path", F.lit("."), at))
+    row = lambda finished, at_path, list_kind, parent, node, kind, value: F.struct(
+        finished.alias("finished"), at_path.alias("at_path"), F.col("above").alias("above") if parent is None else parent.alias("above"),
+        list_kind.alias("list_kind"), value.alias("open"), node.alias("node_path"), kind.alias("node_kind"),
+    )
+    none = F.lit(None).cast("string")
+    here = F.when(in_list, step(F.col("pos"))).otherwise(step(F.lit(0)))
+    kind = F.coalesce("list_kind", "key")
+    kept = F.array(row(done, F.col("at_path"), F.col("list_kind"), None, F.col("node_path"), F.col("node_kind"), F.col("open")))
+    held = F.to_variant_object(F.array(F.col("value"))) if values else F.parse_json(F.lit("[0]"))
+    node = F.array(
+        row(F.lit(True), F.col("above"), none, None, here, kind, held),
+        row(F.lit(False), here, none, here, none, none, F.col("value")),
+    )
+    plain = F.array(row(F.lit(False), F.col("at_path"), none, None, none, none, F.col("value")))
+    nested = F.array(row(F.lit(False), here, F.col("list_kind"), None, none, none, F.col("value")))
+    under = F.array(row(F.lit(False), F.col("at_path"), F.col("key"), None, none, none, F.col("value")))
+    out = (
+        F.when(done, kept)
+        .when((in_list | listed) & F.col("o"), node)
+        .when(in_list & F.col("a"), nested)
+        .when(~in_list & listed & F.col("a"), under)
+        .when(~in_list & ~listed & F.col("o"), plain)
+    )
+    return told.select("record_kind", "record_id", F.explode(out).alias("x")).select("record_kind", "record_id", "x.*")
+
+
+def nested_nodes(events: DataFrame, messages: DataFrame, values: bool = True) -> DataFrame:
     """Every object in a list, of part.state.output of events and of tool_calls of messages.
 
-    Result: record_kind, record_id, parent_path, node_path, node_kind, fields (the object's own
-    values as JSON). parent_path and record_id are the surrogate key of the parent, the last step of
-    node_path is the ordinal. Repeated records count once. Null or invalid JSON gives no node; a
-    null position in a list is counted but is no node. Rows without an id are left out.
+    Result: record_kind, record_id, parent_path, node_path, node_kind, and with ``values`` value (the
+    object, a variant). record_id and parent_path are the surrogate key of the parent, which is the enclosing
+    object in a list, the last step of node_path is the ordinal. Repeated records count once. Null or
+    invalid JSON gives no node; a null position in a list is counted but is no node. Rows without
+    an id are left out.
 
-    All levels of a record are exploded in one pass over its text, so the depth of the data costs
-    neither a job per level nor a shuffle; the merged schema of :func:`merged_paths` tells which
-    child tables exist.
+    A schema is inferred of each record, and their greatest depth taken; then each level is opened
+    by one explode that carries parent key and ordinal. Keys that are objects here and lists there
+    need no common type, as all values stay variants; :func:`merged_paths` gives the merged schema.
+    No Python, and no shuffle but the last one, which drops repeated records.
     """
-    outputs = events.filter("event_id is not null and part.state.output is not null").select(
-        F.col("event_id").alias("record_id"), F.col("part.state.output").alias("text")
-    )
-    outputs = outputs.filter(F.col("text").rlike(r'^\s*[\[{"]|<task_result>'))
-    calls = (
-        messages.filter("msg_id is not null and size(tool_calls) > 0")
-        .select(F.col("msg_id").alias("record_id"), F.posexplode("tool_calls").alias("at", "c"))
-        .filter("c is not null")
-        .select(
-            "record_id",
-            "at",
-            F.to_json(F.struct("c.id", "c.type", F.col("c.function.name").alias("name"))).alias("call"),
-            F.col("c.function.arguments").alias("arguments"),
-        )
-    )
-    found = outputs.mapInPandas(_event_nodes, NODE_SCHEMA).unionByName(calls.mapInPandas(_message_nodes, NODE_SCHEMA))
-    return found.dropDuplicates(["record_kind", "record_id", "parent_path", "node_path", "node_kind"])
+    outputs = decoded(
+        events.filter("event_id is not null and part.state.output is not null").select(
+            F.lit("event").alias("record_kind"), F.col("event_id").alias("record_id"), F.lit("").alias("at"), F.col("part.state.output").alias("text")
+        ),
+        ["record_kind", "record_id", "at"], F.col("text"), tagged=True,
+    )
+    calls = messages.filter("msg_id is not null and size(tool_calls) > 0").select(F.col("msg_id").alias("record_id"), F.posexplode("tool_calls").alias("at", "c")).filter("c is not null")
+    text = F.col("c.function.arguments")
+    # Arguments that name no list key, not even escaped, hold no node.
+    named = calls.filter(text.rlike("|".join(LIST_KEYS)) | text.contains("\\u"))
+    arguments = decoded(named.select(F.lit("message").alias("record_kind"), "record_id", F.col("at").cast("string").alias("at"), text.alias("text")), ["record_kind", "record_id", "at"], F.col("text"))
+    known = outputs.unionByName(arguments.filter(is_object(F.col("open"))))
+    left = known.agg(F.max(levels(F.col("open")))).first()[0] or 0
+
+    none = F.lit(None).cast("string")
+    rows = known.select(
+        "record_kind", "record_id", F.lit(False).alias("finished"), F.col("at").alias("at_path"), F.col("at").alias("above"),
+        F.when(is_array(F.col("open")), "items").alias("list_kind"), "open", none.alias("node_path"), none.alias("node_kind"),
+    )
+    found = calls.select(
+        F.lit("message").alias("record_kind"), "record_id", F.lit("").alias("parent_path"), F.col("at").cast("string").alias("node_path"), F.lit("tool_calls").alias("node_kind"),
+        F.to_variant_object(F.struct("c.id", "c.type", F.col("c.function.name").alias("name"))).alias("value"),
+    )
+    one = F.try_variant_get("open", "$[0]", "variant")
+    while left > 0:
+        for _ in range(min(left, MOST_LEVELS)):
+            rows = _open_level(rows, values)
+        finished = rows.filter("finished").select("record_kind", "record_id", F.col("above").alias("parent_path"), "node_path", "node_kind", one.alias("value"))
+        found = found.unionByName(finished)
+        left -= MOST_LEVELS
+        if left > 0:
+            rows = cut_lineage(rows.filter("not finished"))
+    return found.dropDuplicates(KEY) if values else found.select(*KEY).distinct()
 
 
 def merged_paths(found: DataFrame) -> DataFrame:
     """The merged schema: for each node_kind, the fields seen, their types and how often each occurs."""
     return (
-        found.select(
-            "record_kind", "node_kind", F.explode(F.try_parse_json("fields").cast("map<string,variant>")).alias("field", "v")
-        )
+        found.select("record_kind", "node_kind", F.explode(F.try_variant_get("value", "$", "map<string,variant>")).alias("field", "v"))
         .groupBy("record_kind", "node_kind", "field")
         .agg(
             F.array_join(F.array_sort(F.collect_set(F.regexp_extract(F.schema_of_variant("v"), "^[A-Z]+", 0))), "|").alias("types"),
@@ -138,14 +126,15 @@ def merged_paths(found: DataFrame) -> DataFrame:
 
 
 def child_table(found: DataFrame, node_kind: str) -> DataFrame:
-    """The flat table of one list key: parent key, own key, ordinal and values."""
+    """The flat table of one list key: parent key, own key, ordinal and values (those under a list key lie in tables of their own)."""
+    own = F.map_filter(F.try_variant_get("value", "$", "map<string,variant>"), lambda k, v: ~k.isin(*LIST_KEYS))
     return found.filter(F.col("node_kind") == node_kind).select(
         "record_kind",
         "record_id",
         "parent_path",
         "node_path",
         F.regexp_extract("node_path", r"(\d+)$", 1).cast("int").alias("ordinal"),
-        F.try_parse_json("fields").cast("map<string,variant>").cast("map<string,string>").alias("fields"),
+        F.transform_values(own, lambda k, v: v.cast("string")).alias("fields"),
     )
 
 

@@ -21,8 +21,7 @@ def p5_table(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = nesting.nested_nodes(table(spark, sf_dir, "opencode_events"), table(spark, sf_dir, "messages"))
-    return found.select("record_kind", "record_id", "parent_path", "node_path", "node_kind")
+    return nesting.nested_nodes(table(spark, sf_dir, "opencode_events"), table(spark, sf_dir, "messages"), values=False)
 
 
 def p6_token_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -53,6 +52,30 @@ n AS (SELECT *, lead(a) OVER (PARTITION BY traj_id, path ORDER BY a) AS nxt FROM
 SELECT traj_id, path, 'covered' AS kind, a::INT AS first_line, (CASE WHEN b = 2147483647 THEN -1 ELSE b END)::INT AS last_line FROM c
 UNION ALL
 SELECT traj_id, path, 'gap', (b + 1)::INT, (nxt - 1)::INT FROM n WHERE nxt IS NOT NULL
+""",
+    "p6_found": """
+WITH RECURSIVE c AS (
+  SELECT DISTINCT msg_id, unnest(tool_calls) AS call, unnest(range(len(tool_calls))) AS pos FROM messages WHERE msg_id IS NOT NULL),
+o AS (SELECT DISTINCT event_id, part.state.output AS o FROM opencode_events WHERE event_id IS NOT NULL AND part.state.output IS NOT NULL),
+t AS (
+  SELECT 'event' AS k, event_id AS id, '' AS p, CASE WHEN regexp_matches(o, '(?s)<task_result>.*?</task_result>') THEN regexp_extract(o, '(?s)<task_result>(.*?)</task_result>', 1) ELSE o END AS t FROM o
+  UNION ALL SELECT 'message', msg_id, pos::VARCHAR, call.function.arguments FROM c WHERE call IS NOT NULL),
+j AS (SELECT k, id, p, CASE WHEN json_valid(t) AND json_type(t) = 'VARCHAR' THEN json_extract_string(t, '$') ELSE t END AS t FROM t WHERE regexp_matches(t, '^\\s*[\\[{"]')),
+r AS (SELECT k, id, p, t::JSON AS v FROM j WHERE json_valid(t) AND (json_type(t) = 'OBJECT' OR (json_type(t) = 'ARRAY' AND k = 'event'))),
+w AS (
+  SELECT k, id, p AS parent, p AS path, CASE WHEN json_type(v) = 'ARRAY' THEN 'items' END AS in_list, false AS node, NULL::VARCHAR AS node_kind, p AS above, v FROM r
+  UNION ALL
+  SELECT k, id, above, CASE WHEN new.step IS NULL THEN path WHEN path = '' THEN new.step ELSE path || '.' || new.step END, new.in_list, new.node, new.node_kind,
+         CASE WHEN new.node THEN CASE WHEN path = '' THEN new.step ELSE path || '.' || new.step END ELSE above END, x
+  FROM (SELECT w.k, w.id, w.above, w.path, e.value AS x,
+          CASE WHEN w.in_list IS NOT NULL AND json_type(e.value) = 'OBJECT' THEN {'step': e.key, 'in_list': NULL::VARCHAR, 'node': true, 'node_kind': w.in_list}
+               WHEN w.in_list IS NOT NULL AND json_type(e.value) = 'ARRAY' THEN {'step': e.key, 'in_list': w.in_list, 'node': false, 'node_kind': NULL}
+               WHEN w.in_list IS NULL AND e.key IN ('subtasks', 'files', 'hits', 'edits', 'hunks') AND json_type(e.value) = 'OBJECT' THEN {'step': '0', 'in_list': NULL, 'node': true, 'node_kind': e.key}
+               WHEN w.in_list IS NULL AND e.key IN ('subtasks', 'files', 'hits', 'edits', 'hunks') AND json_type(e.value) = 'ARRAY' THEN {'step': NULL, 'in_list': e.key, 'node': false, 'node_kind': NULL}
+               WHEN w.in_list IS NULL AND e.key NOT IN ('subtasks', 'files', 'hits', 'edits', 'hunks') AND json_type(e.value) = 'OBJECT' THEN {'step': NULL, 'in_list': NULL, 'node': false, 'node_kind': NULL} END AS new
+        FROM w, json_each(w.v) e) WHERE new IS NOT NULL)
+SELECT DISTINCT k AS record_kind, id AS record_id, parent AS parent_path, path AS node_path, node_kind FROM w WHERE node
+UNION SELECT DISTINCT 'message', msg_id, '', pos::VARCHAR, 'tool_calls' FROM c WHERE call IS NOT NULL
 """,
     "p6_token_totals": """
 SELECT sessionid, count(*) AS n_steps, sum(coalesce(g, i + o + r + w + c))::BIGINT AS total, sum(i)::BIGINT AS input, sum(o)::BIGINT AS output,
