@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 import zipfile
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 DEFAULTS = {
     "spark.sql.adaptive.enabled": "true",
@@ -31,17 +34,34 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     """Writes ``df`` to the shared checkpoint folder and returns it read back.
 
     The folder is the one the cluster names in spark.checkpoint.dir. Only where that setting is
-    absent (tests, a laptop) is a folder of this process used. Files in the folder outlive an
-    executor, so a later stage never depends on a lost one.
+    absent and the master is local (tests, a laptop) is a folder of this process used, which is
+    removed when it ends; on a cluster without the setting this fails, as executors would write to
+    disks of their own. Files in the folder outlive an executor, so a later stage never depends on
+    a lost one. Set spark.cleaner.referenceTracking.cleanCheckpoints to have them removed.
     """
     spark = df.sparkSession
-    if not spark.conf.get("spark.checkpoint.dir", None):
-        context = spark.sparkContext
-        if context._jsc.sc().getCheckpointDir().isEmpty():
-            context.setCheckpointDir(tempfile.mkdtemp(prefix="tracewright-"))
+    context = spark.sparkContext
+    if context._jsc.sc().getCheckpointDir().isEmpty():
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder:
+            if not context.master.startswith("local"):
+                raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+            folder = tempfile.mkdtemp(prefix="tracewright-")
+            atexit.register(shutil.rmtree, folder, ignore_errors=True)
+        context.setCheckpointDir(folder)
     return df.checkpoint(eager=True)
 
 
+#: Rows up to which a table is small enough to go to every executor.
+SMALL_ROWS = 100_000
+
+
+def small(df: DataFrame, rows: int = SMALL_ROWS) -> DataFrame:
+    """A table of slim rows that is expected to be small: written once, counted, and broadcast in joins only if it has at most ``rows`` rows."""
+    told = cut_lineage(df)
+    return F.broadcast(told) if told.count() <= rows else told
+
+
 def ship_package(spark: SparkSession) -> SparkSession:
     """Makes this package importable in the Python workers, wherever they start. Once per application."""
     context = spark.sparkContext
