@@ -11,9 +11,10 @@ from pyspark.sql import functions as F
 _BEFORE, _AFTER, _VALUE = '[[{"v":[', "]}]]", "$[0][0].v"
 
 
-def worked_out(df: DataFrame, keys: Sequence[str], value: Column, name: str) -> DataFrame:
-    """``keys`` and a costly value without its nulls, computed once per row: the optimizer copies no expression out of an explode."""
-    return df.select(*keys, F.explode(F.filter(F.array(value), lambda x: x.isNotNull())).alias(name))
+def worked_out(df: DataFrame, keys: Sequence[str], value: Column, name: str, nulls: bool = False) -> DataFrame:
+    """``keys`` and a costly value, computed once per row: the optimizer copies no expression out of an explode. Rows without a value are left out, or kept with ``nulls``."""
+    one = F.array(value)
+    return df.select(*keys, F.explode(one if nulls else F.filter(one, lambda x: x.isNotNull())).alias(name))
 
 
 def _framed(text: Column) -> Column:
@@ -24,22 +25,22 @@ def _only(framed: Column) -> Column:
     return F.when(F.try_variant_get(framed, f"{_VALUE}[1]", "variant").isNull(), F.try_variant_get(framed, f"{_VALUE}[0]", "variant"))
 
 
-def strict_json(df: DataFrame, keys: Sequence[str], text: Column, name: str = "v", twice: bool = False) -> DataFrame:
-    """``keys`` and the one JSON value that a text is, as a variant; rows whose text is anything else are left out.
+def strict_json(df: DataFrame, keys: Sequence[str], text: Column, name: str = "v", twice: bool = False, nulls: bool = False) -> DataFrame:
+    """``keys`` and the one JSON value that a text is, as a variant; rows whose text is anything else are left out, or have a null with ``nulls``.
 
     A value with something behind it is no JSON, nor are objects with a key twice, values nested
     deeper than 1,000 levels and texts above the size limit of a variant. With ``twice`` a JSON
     string is read once more: its text must be JSON too.
     """
     keys = list(keys)
-    framed = worked_out(df, keys, _framed(text), "__f")
-    one = worked_out(framed, keys, _only(F.col("__f")), "__one")
+    framed = worked_out(df, keys, _framed(text), "__f", nulls)
+    one = worked_out(framed, keys, _only(F.col("__f")), "__one", nulls)
     if not twice:
         return one.withColumnRenamed("__one", name)
     # An object, a list or a number has no text of its own; only what is a string is parsed again.
     string = F.when(F.schema_of_variant("__one") == "STRING", _framed(F.try_variant_get("__one", "$", "string")))
     again = one.select(*keys, "__one", F.explode(F.array(F.struct((F.schema_of_variant("__one") == "STRING").alias("s"), string.alias("f")))).alias("__x"))
-    return worked_out(again, keys, F.when(F.col("__x.s"), _only(F.col("__x.f"))).otherwise(F.col("__one")), name)
+    return worked_out(again, keys, F.when(F.col("__x.s"), _only(F.col("__x.f"))).otherwise(F.col("__one")), name, nulls)
 
 
 def is_object(value: Column) -> Column:

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tracewright.session import cut_lineage
+from tracewright.functions.variants import strict_json, worked_out
+from tracewright.session import cut_lineage, small
 
 #: Share of re-sent records whose values must agree under the old and the new key.
 RENAME_SHARE = 0.6
@@ -13,6 +14,10 @@ RENAME_SHARE = 0.6
 RENAME_VALUES = 0.5
 
 
+#: JSON types in the order in which they are joined; each is one bit of a number.
+KINDS = ("array", "boolean", "number", "object", "string")
+
+
 def _kind(value: Column) -> Column:
     """JSON type of a variant value."""
     name = F.schema_of_variant(value)
@@ -26,6 +31,17 @@ def _kind(value: Column) -> Column:
     )
 
 
+def _bit(value: Column) -> Column:
+    """The bit of a value's type; null for JSON null."""
+    bits = F.create_map(*[F.lit(x) for i, k in enumerate(KINDS) for x in (k, 1 << i)])
+    return F.element_at(bits, _kind(value))
+
+
+def _kinds(bits: Column) -> Column:
+    """Names of the types that are set in ``bits``, joined."""
+    return F.concat_ws("|", *[F.when(bits.bitwiseAND(F.lit(1 << i)) > 0, k) for i, k in enumerate(KINDS)])
+
+
 def _canonical(value: Column) -> Column:
     """Text of a value that is the same for 5 and "5", or for an object and its JSON in a string."""
     text = value.cast("string")
@@ -33,82 +49,77 @@ def _canonical(value: Column) -> Column:
     return F.coalesce(inner, text)
 
 
-def tagged_fields(records: DataFrame, id_field: str = "id") -> DataFrame:
-    """One row per top-level field of each valid line: feed, file_name, rec_key, field, kind, value (variant).
+def _lines(records: DataFrame, *more: str) -> DataFrame:
+    """feed, file_name, more columns, and the fields of each valid line as a map of variants. Lines that are null, no JSON or no JSON object are left out."""
+    keys = ["feed", "file_name", *more]
+    parsed = strict_json(records, keys, F.col("raw_line"))
+    return worked_out(parsed, [*keys, "v"], F.try_variant_get("v", "$", "map<string,variant>"), "fields")
 
-    Lines that are null, no JSON or no JSON object are left out, as are null values.
-    """
-    parsed = records.select("feed", "file_name", F.try_parse_json("raw_line").alias("v")).filter(
-        F.schema_of_variant("v").startswith("OBJECT")
-    )
-    return (
-        parsed.select(
-            "feed",
-            "file_name",
-            F.try_variant_get("v", f"$.{id_field}", "string").alias("rec_key"),
-            F.explode(F.col("v").cast("map<string,variant>")).alias("field", "value"),
-        )
-        .withColumn("kind", _kind(F.col("value")))
-        .filter("kind is not null")
-    )
+
+def tagged_fields(records: DataFrame) -> DataFrame:
+    """Types of each top-level field of each file, as bits: feed, file_name, field, bits. Null values have no type."""
+    one = _lines(records).select("feed", "file_name", F.explode("fields").alias("field", "value"))
+    return one.select("feed", "file_name", "field", _bit(F.col("value")).alias("bit")).filter("bit is not null").groupBy("feed", "file_name", "field").agg(F.bit_or("bit").alias("bits"))
 
 
 def _compared(records: DataFrame, id_field: str) -> tuple[DataFrame, ...]:
-    """files with their number, fields that are new, old and of another type, gone, came, and the renamings among them."""
+    """files with their number, fields that are new, old and of another type, gone, came, and the renamings among them.
+
+    Lines are parsed twice: once for the types of all fields, and once for the values of the few
+    fields that went or came, in files that have both. Each result is written once.
+    """
     records = records.filter("feed is not null and file_name is not null")
     order = Window.partitionBy("feed").orderBy("file_name")
-    files = records.select("feed", "file_name").distinct().withColumn("n", F.row_number().over(order))
-    values = tagged_fields(records, id_field)
-    # A few rows per file, used many times below: written once, so the lines are not parsed again.
-    types = cut_lineage(
-        values.groupBy("feed", "file_name", "field")
-        .agg(F.array_join(F.array_sort(F.collect_set("kind")), "|").alias("kind"))
-        .join(files, ["feed", "file_name"])
-    )
+    files = small(records.select("feed", "file_name").distinct().withColumn("n", F.row_number().over(order)))
+    types = cut_lineage(tagged_fields(records).join(files, ["feed", "file_name"]).select("feed", "n", "file_name", "field", _kinds(F.col("bits")).alias("kind")))
     new = types.select("feed", "n", "field", F.col("kind").alias("new_kind"))
     old = types.select("feed", (F.col("n") + 1).alias("n"), "field", F.col("kind").alias("old_kind"))
     both = cut_lineage(
         new.join(old, ["feed", "n", "field"], "full_outer")
-        .join(files, ["feed", "n"])
         .filter("n > 1 and not new_kind <=> old_kind")
+        .join(files, ["feed", "n"], "left_semi")
     )
     gone = both.filter("new_kind is null").select("feed", "n", "field")
     came = both.filter("old_kind is null").select("feed", "n", "field")
 
-    # Values of the fields that went or came, with the number of the file in which the change shows.
-    told = values.join(files, ["feed", "file_name"]).select(
-        "feed", "n", "field", "rec_key", F.xxhash64(_canonical(F.col("value"))).alias("h")
+    # Fields to compare, by the file that holds them; n is the file in which the change shows.
+    either = gone.select("feed", "n").distinct().join(came.select("feed", "n").distinct(), ["feed", "n"])
+    asked = (
+        gone.select("feed", "n", (F.col("n") - 1).alias("at"), "field", F.lit(True).alias("was"))
+        .unionByName(came.select("feed", "n", F.col("n").alias("at"), "field", F.lit(False).alias("was")))
+        .join(either, ["feed", "n"])
+        .join(files.select("feed", F.col("n").alias("at"), "file_name"), ["feed", "at"])
+        .groupBy("feed", "file_name").agg(F.map_from_entries(F.collect_list(F.struct(F.struct("field", "was"), "n"))).alias("asked"))
+    )
+    picked = _lines(records.join(small(asked), ["feed", "file_name"]), "asked").select(
+        "feed", F.try_variant_get("v", f"$.{id_field}", "string").alias("rec_key"), "fields", F.explode("asked").alias("which", "n")
     )
-    was = told.withColumn("n", F.col("n") + 1).join(gone, ["feed", "n", "field"]).distinct()
-    now = told.join(came, ["feed", "n", "field"]).distinct()
+    value = F.element_at("fields", F.col("which.field"))
+    told = picked.select("feed", "n", "rec_key", F.col("which.field").alias("field"), F.col("which.was").alias("was"), value.alias("value")).filter("value is not null and not is_variant_null(value)")
+    told = cut_lineage(told.select("feed", "n", "rec_key", "field", "was", F.xxhash64(_canonical(F.col("value"))).alias("h")).distinct())
+
     pair = ["feed", "n", "old_field", "new_field"]
-    resent = (
-        was.select("feed", "n", "rec_key", F.col("field").alias("old_field"), F.col("h").alias("h1"))
-        .join(now.select("feed", "n", "rec_key", F.col("field").alias("new_field"), F.col("h").alias("h2")), ["feed", "n", "rec_key"])
-        .groupBy(*pair, "rec_key")
-        .agg(F.max((F.col("h1") == F.col("h2")).cast("int")).alias("same"))
-        .groupBy(*pair)
-        .agg(F.count("*").alias("seen"), F.sum("same").alias("same"))
-    )
-    was_values = was.select("feed", "n", F.col("field").alias("old_field"), "h").distinct()
-    now_values = now.select("feed", "n", F.col("field").alias("new_field"), "h").distinct()
-    common = was_values.join(now_values, ["feed", "n", "h"]).groupBy(*pair).agg(F.count("*").alias("common"))
-    sizes_old = was_values.groupBy("feed", "n", "old_field").agg(F.count("*").alias("n_old"))
-    sizes_new = now_values.groupBy("feed", "n", "new_field").agg(F.count("*").alias("n_new"))
+
+    def met(on: list[str], rows: DataFrame) -> DataFrame:
+        """Old and new fields that meet in ``on``: fields of two files only, however often a value or an id is repeated."""
+        one = rows.select(*on, "field", "was").distinct()
+        return one.filter("was").withColumnRenamed("field", "old_field").drop("was").join(one.filter("not was").withColumnRenamed("field", "new_field").drop("was"), on)
+
+    keyed = told.filter("rec_key is not null")
+    seen = met(["feed", "n", "rec_key"], keyed).groupBy(*pair).agg(F.count("*").alias("seen"))
+    same = met(["feed", "n", "rec_key", "h"], keyed).groupBy(*pair).agg(F.count_distinct("rec_key").alias("same"))
+    common = met(["feed", "n", "h"], told).groupBy(*pair).agg(F.count("*").alias("common"))
+    sizes = told.select("feed", "n", "field", "was", "h").distinct().groupBy("feed", "n", "field", "was").agg(F.count("*").alias("n_values"))
+    size = lambda was, name: sizes.filter(F.col("was") == was).select("feed", "n", F.col("field").alias(f"{name}_field"), F.col("n_values").alias(f"n_{name}"))
+    zero = lambda c: F.coalesce(c, F.lit(0)).alias(c)
     judged = (
-        resent.join(common, pair, "full_outer")
-        .join(sizes_old, ["feed", "n", "old_field"])
-        .join(sizes_new, ["feed", "n", "new_field"])
-        .withColumn("seen", F.coalesce("seen", F.lit(0)))
-        .withColumn("same", F.coalesce("same", F.lit(0)))
-        .withColumn("common", F.coalesce("common", F.lit(0)))
+        seen.join(same, pair, "full_outer").join(common, pair, "full_outer")
+        .select(*pair, zero("seen"), zero("same"), zero("common"))
+        .join(size(True, "old"), ["feed", "n", "old_field"])
+        .join(size(False, "new"), ["feed", "n", "new_field"])
         .withColumn("alike", F.col("common") / (F.col("n_old") + F.col("n_new") - F.col("common")))
-        .filter(
-            F.when(F.col("seen") >= 2, F.col("same") >= RENAME_SHARE * F.col("seen")).otherwise(
-                F.col("alike") >= RENAME_VALUES
-            )
-        )
-    )
+        .filter(F.when(F.col("seen") >= 2, F.col("same") >= RENAME_SHARE * F.col("seen")).otherwise(F.col("alike") >= RENAME_VALUES))
+    )
     rank = [F.desc("same"), F.desc("alike"), "old_field", "new_field"]
     renamed = cut_lineage(
         judged.withColumn("r1", F.row_number().over(Window.partitionBy("feed", "n", "old_field").orderBy(*rank)))
@@ -161,9 +172,7 @@ def field_names(records: DataFrame, id_field: str = "id") -> DataFrame:
     files, *_, renamed = _compared(records, id_field)
     back = F.reverse(F.array_sort(F.collect_list(F.struct("n", "old_field", "new_field"))))
     chains = renamed.groupBy("feed").agg(back.alias("chain"))
-    v = F.try_parse_json("raw_line")
-    keys = F.explode(F.map_keys(F.when(F.schema_of_variant(v).startswith("OBJECT"), v).cast("map<string,variant>")))
-    known = records.select("feed", "file_name", keys.alias("field")).distinct().join(files, ["feed", "file_name"])
+    known = _lines(records).select("feed", "file_name", F.explode(F.map_keys("fields")).alias("field")).distinct().join(files, ["feed", "file_name"])
     step = lambda name, r: F.when((r["n"] <= F.col("n")) & (r["new_field"] == name), r["old_field"]).otherwise(name)
     named = known.join(chains, "feed", "left").withColumn(
         "name", F.coalesce(F.aggregate("chain", F.col("field"), step), F.col("field"))
@@ -180,8 +189,8 @@ def unified_table(records: DataFrame, id_field: str = "id") -> DataFrame:
     fields MAP<field, STRUCT<kind, as_string, as_number, as_boolean, as_json>>. Invalid lines stay,
     with a null map, so no row is lost. Repeated rec_id count once.
     """
-    one = records.dropDuplicates(["rec_id"])
-    v = F.try_parse_json("raw_line")
+    own = ["rec_id", "feed", "file_name", "line_no"]
+    one = worked_out(strict_json(records.dropDuplicates(["rec_id"]), own, F.col("raw_line"), nulls=True), own, F.try_variant_get("v", "$", "map<string,variant>"), "as_map", nulls=True)
     value = lambda x: F.struct(
         _kind(x).alias("kind"),
         F.when(_kind(x) == "string", x.cast("string")).alias("as_string"),
@@ -189,11 +198,10 @@ def unified_table(records: DataFrame, id_field: str = "id") -> DataFrame:
         F.when(_kind(x) == "boolean", F.try_variant_get(x, "$", "boolean")).alias("as_boolean"),
         _canonical(x).alias("as_json"),
     )
-    as_map = F.when(F.schema_of_variant(v).startswith("OBJECT"), v).cast("map<string,variant>")
     names = field_names(records, id_field).groupBy("feed", "file_name").agg(
         F.map_from_entries(F.collect_list(F.struct("field", "name"))).alias("names")
     )
     entry = lambda e: F.struct(F.coalesce(F.col("names")[e["key"]], e["key"]), value(e["value"]))
     return one.join(names, ["feed", "file_name"], "left").select(
-        "rec_id", "feed", "file_name", "line_no", F.map_from_entries(F.transform(F.map_entries(as_map), entry)).alias("fields")
+        "rec_id", "feed", "file_name", "line_no", F.map_from_entries(F.transform(F.map_entries("as_map"), entry)).alias("fields")
     )
