@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tracewright.operators.ordering import running_totals
+from tracewright.session import cut_lineage
 
 #: Spellings of the speakers.
 SPEAKERS = {
@@ -31,9 +32,12 @@ def speaker(role: Column, tool_call_id: Column) -> Column:
 
 
 def message_turns(messages: DataFrame) -> DataFrame:
-    """Slim rows in an unambiguous order: the text itself is not carried through any shuffle."""
+    """Slim rows in an unambiguous order: the text itself is not carried through any shuffle.
+
+    The rows are read once and written slim, as three plans below need them.
+    """
     calls = F.filter(F.coalesce("tool_calls", F.expr("array()")), lambda c: c.isNotNull())
-    rows = (
+    rows = cut_lineage(
         messages.filter("traj_id is not null and msg_id is not null")
         .select(
             F.col("traj_id").cast("string").alias("conv_key"),
