@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tracewright.operators.ordering import running_totals
 from tracewright.operators.turns import ORDER, blank, message_turns
+from tracewright.session import cut_lineage
 
 
 def message_conversations(messages: DataFrame) -> DataFrame:
@@ -25,9 +26,9 @@ def message_conversations(messages: DataFrame) -> DataFrame:
     """
     turns = message_turns(messages)
     useful = (F.col("speaker") == "assistant") & (F.col("has_text") | (F.size("call_ids") > 0))
-    placed = running_totals(
-        turns, ["conv_key"], ORDER, {"turn_no": F.lit(1), "segment": (F.col("speaker") == "user").cast("int")}
-    )
+    totals = running_totals(turns, ["conv_key"], ORDER, {"turn_no": F.lit(1), "segment": (F.col("speaker") == "user").cast("int")})
+    # Read by five plans below; the columns of the order are done with.
+    placed = cut_lineage(totals.drop(*ORDER))
     talk = F.col("speaker") != "system"
     edge = F.struct("speaker", "has_text")
     ends = placed.groupBy("conv_key").agg(
