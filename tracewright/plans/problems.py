@@ -52,6 +52,37 @@ n AS (SELECT *, lead(a) OVER (PARTITION BY traj_id, path ORDER BY a) AS nxt FROM
 SELECT traj_id, path, 'covered' AS kind, a::INT AS first_line, (CASE WHEN b = 2147483647 THEN -1 ELSE b END)::INT AS last_line FROM c
 UNION ALL
 SELECT traj_id, path, 'gap', (b + 1)::INT, (nxt - 1)::INT FROM n WHERE nxt IS NOT NULL
+""",
+    "p5_found": """
+WITH r AS (SELECT DISTINCT feed, file_name, CASE WHEN json_valid(raw_line) AND json_type(raw_line) = 'OBJECT' THEN raw_line ELSE '{}' END AS line FROM raw_records WHERE feed IS NOT NULL AND file_name IS NOT NULL),
+f AS (SELECT feed, file_name, row_number() OVER (PARTITION BY feed ORDER BY file_name) AS n FROM (SELECT DISTINCT feed, file_name FROM r)),
+v0 AS (SELECT feed, n, json_extract_string(line, '$.id') AS rec_key, e.key AS field, e.value AS value, json_type(e.value) AS t, json_extract_string(e.value, '$') AS s
+       FROM r JOIN f USING (feed, file_name), json_each(r.line) e),
+v AS (SELECT feed, n, rec_key, field, CASE t WHEN 'ARRAY' THEN 'array' WHEN 'BOOLEAN' THEN 'boolean' WHEN 'OBJECT' THEN 'object' WHEN 'VARCHAR' THEN 'string' ELSE 'number' END AS kind,
+        CASE WHEN t = 'VARCHAR' THEN CASE WHEN regexp_matches(s, '^\\s*[\\[{]') AND json_valid(s) THEN json(s)::VARCHAR ELSE s END ELSE json(value)::VARCHAR END AS h FROM v0 WHERE t <> 'NULL'),
+k AS (SELECT feed, n, field, string_agg(DISTINCT kind, '|' ORDER BY kind) AS kind FROM v GROUP BY ALL),
+b AS (SELECT coalesce(w.feed, o.feed) AS feed, coalesce(w.n, o.n + 1) AS n, coalesce(w.field, o.field) AS field, w.kind AS new_kind, o.kind AS old_kind
+      FROM k w FULL JOIN k o ON w.feed = o.feed AND w.n = o.n + 1 AND w.field = o.field),
+b2 AS (SELECT b.* FROM b JOIN f USING (feed, n) WHERE n > 1 AND new_kind IS DISTINCT FROM old_kind),
+was AS (SELECT DISTINCT v.feed, b2.n, v.rec_key, v.field AS old_field, h FROM v JOIN b2 ON b2.feed = v.feed AND b2.n = v.n + 1 AND b2.field = v.field AND new_kind IS NULL),
+now AS (SELECT DISTINCT v.feed, b2.n, v.rec_key, v.field AS new_field, h FROM v JOIN b2 ON b2.feed = v.feed AND b2.n = v.n AND b2.field = v.field AND old_kind IS NULL),
+seen AS (SELECT feed, n, old_field, new_field, count(*) AS seen FROM (SELECT DISTINCT feed, n, rec_key, old_field FROM was) JOIN (SELECT DISTINCT feed, n, rec_key, new_field FROM now) USING (feed, n, rec_key) GROUP BY ALL),
+same AS (SELECT feed, n, old_field, new_field, count(DISTINCT rec_key) AS same FROM was JOIN now USING (feed, n, rec_key, h) GROUP BY ALL),
+common AS (SELECT feed, n, old_field, new_field, count(*) AS common FROM (SELECT DISTINCT feed, n, old_field, h FROM was) JOIN (SELECT DISTINCT feed, n, new_field, h FROM now) USING (feed, n, h) GROUP BY ALL),
+j AS (
+  SELECT feed, n, old_field, new_field, coalesce(seen, 0) AS seen, coalesce(same, 0) AS same, coalesce(common, 0) / (no + nn - coalesce(common, 0))::DOUBLE AS alike
+  FROM seen FULL JOIN same USING (feed, n, old_field, new_field) FULL JOIN common USING (feed, n, old_field, new_field)
+  JOIN (SELECT feed, n, old_field, count(DISTINCT h) AS no FROM was GROUP BY ALL) USING (feed, n, old_field) JOIN (SELECT feed, n, new_field, count(DISTINCT h) AS nn FROM now GROUP BY ALL) USING (feed, n, new_field)),
+q AS (
+  SELECT * FROM j WHERE CASE WHEN seen >= 2 THEN same >= 0.6 * seen ELSE alike >= 0.5 END
+  QUALIFY row_number() OVER (PARTITION BY feed, n, old_field ORDER BY same DESC, alike DESC, old_field, new_field) = 1 AND row_number() OVER (PARTITION BY feed, n, new_field ORDER BY same DESC, alike DESC, old_field, new_field) = 1),
+c AS (
+  SELECT feed, n, 'added' AS change_kind, field AS field_name, '' AS new_value FROM b2 WHERE old_kind IS NULL AND (feed, n, field) NOT IN (SELECT (feed, n, new_field) FROM q)
+  UNION ALL SELECT feed, n, 'removed', field, '' FROM b2 WHERE new_kind IS NULL AND (feed, n, field) NOT IN (SELECT (feed, n, old_field) FROM q)
+  UNION ALL SELECT feed, n, 'renamed', old_field, new_field FROM q
+  UNION ALL SELECT feed, n, 'retyped', field, new_kind FROM b2 WHERE new_kind IS NOT NULL AND old_kind IS NOT NULL
+  UNION ALL SELECT q.feed, q.n, 'retyped', q.new_field, w.kind FROM q JOIN k w ON w.feed = q.feed AND w.n = q.n AND w.field = q.new_field JOIN k o ON o.feed = q.feed AND o.n = q.n - 1 AND o.field = q.old_field WHERE w.kind <> o.kind)
+SELECT file_name, change_kind, field_name, new_value FROM c JOIN f USING (feed, n)
 """,
     "p6_found": """
 WITH RECURSIVE c AS (
