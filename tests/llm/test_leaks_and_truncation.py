@@ -3,7 +3,7 @@ import random
 import pytest
 
 from tracewright.llm.endings import ending
-from tracewright.llm.leaks import build_index, edit_distance, leaked_items, matches, words
+from tracewright.llm.leaks import build_index, edit_distances, leaked_items, matches, words
 from tracewright.llm.truncation import cut_documents, cut_share
 
 VOCABULARY = [f"w{i}" for i in range(60)]
@@ -30,7 +30,7 @@ def test_equals_brute_force(spark):
     df, it = spark.createDataFrame(docs, "doc_id bigint, text string, item_id int"), spark.createDataFrame(items, "item_id bigint, text string")
     got = [(r.doc_id, r.item_id) for r in leaked_items(df, it).collect()]
     assert set(got) == truth and len(got) == len(truth) > 50
-    assert {(r.doc_id, r.item_id) for r in leaked_items(df, it, block_chars=1500).collect()} == truth
+    assert {(r.doc_id, r.item_id) for r in leaked_items(df, it, block_bytes=12_000).collect()} == truth
     assert leaked_items(df.limit(0), it).count() == 0 and leaked_items(df, it.limit(0)).count() == 0
 
 
@@ -48,11 +48,59 @@ def test_recall_with_edits():
     assert len(found) >= 0.9 * len(items)
 
 
-def test_edit_distance():
+def plain_distance(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        row, before = [i], row
+        for j, y in enumerate(b, 1):
+            row.append(min(before[j] + 1, row[-1] + 1, before[j - 1] + (x != y)))
+    return row[-1]
+
+
+def test_edit_distances():
     import numpy as np
 
-    a = lambda s: np.array([ord(c) for c in s])
-    assert edit_distance(a("kitten"), a("sitting"), 5) == 3 and edit_distance(a("abc"), a("abc"), 0) == 0 and edit_distance(a("abc"), a("xyz"), 1) == 2
+    r = random.Random(2)
+    a, b = (np.array([[r.randrange(4) for _ in range(9)] for _ in range(300)]) for _ in range(2))
+    assert list(edit_distances(a, b)) == [plain_distance(x, y) for x, y in zip(a.tolist(), b.tolist())]
+
+
+@pytest.mark.parametrize("width", [13, 26])
+def test_near_windows_of_documents_against_brute_force(spark, width):
+    """Recall over real documents with edited passages, counted against all pairs of windows."""
+    d = "/root/testdata/sf0.001"
+    items = [(r.item_id, r.text) for r in spark.read.parquet(f"{d}/eval_items.parquet").limit(40).collect()]
+    docs = [r.text for r in spark.read.parquet(f"{d}/documents.parquet").filter("length(text) between 100 and 1500").limit(60).collect()]
+    r = random.Random(width)
+    data = []
+    for n, text in enumerate(docs):
+        w = r.choice(items)[1].split()[: width + 6]
+        for _ in range(r.choice([1, 2])):
+            at = r.randrange(len(w))
+            w[at : at + 1] = r.choice([[], ["zz"], [w[at], "zz"]])
+        data.append((n, text[:300] + "\n" + " ".join(w) + "\n" + text[300:]))
+    df = spark.createDataFrame(data, "doc_id bigint, text string")
+    it = spark.createDataFrame(items, "item_id bigint, text string")
+    grams = lambda t: [tuple(x) for x in (words(t)[i : i + width] for i in range(len(words(t)) - width + 1))]
+    truth = set()
+    per_item = {i: set(grams(t)) for i, t in items}
+    for n, text in data:
+        own = set(grams(text))
+        for i, held in per_item.items():
+            for g in own:
+                counts = set(g)
+                if any(len(counts & set(h)) >= width // 2 and sum(x in h for x in g) >= width - 2 and plain_distance(g, h) <= 2 for h in held):
+                    truth.add((n, i))
+                    break
+    got = {(x.doc_id, x.item_id) for x in leaked_items(df, it, width, 2, 0.95).collect()}
+    assert got <= truth and len(truth) > 25 and len(got) >= 0.9 * len(truth)
+
+
+def test_too_few_repetitions_are_told(spark):
+    text = " ".join(f"u{i}" for i in range(40))
+    df = spark.createDataFrame([(1, text)], "doc_id bigint, text string")
+    with pytest.warns(UserWarning, match="repetitions reach a recall"):
+        leaked_items(df, df.withColumnRenamed("doc_id", "item_id"), 13, 6, 0.99, most_repeats=1)
 
 
 @pytest.mark.parametrize(

@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-import math
 import re
+import warnings
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -14,8 +14,12 @@ from pyspark.sql import functions as F
 
 #: A word is a run of letters and digits; the underscore is neither.
 WORD = re.compile(r"[^\W_]+")
-#: Characters of items that are sent to the executors at once; more items make more passes.
-BLOCK_CHARS = 8_000_000
+#: Bytes of keys that go to the executors at once; more items make more passes over the documents.
+BLOCK_BYTES = 128_000_000
+#: Repetitions at most; where the wanted recall needs more, the one that is reached is told.
+MOST_REPEATS = 64
+#: Pairs of windows that are verified at once.
+VERIFIED = 200_000
 #: Coordinates of the embedding in one LSH key.
 SAMPLED = 8
 #: Pairs drawn to measure how often a key survives the allowed edits.
@@ -26,17 +30,17 @@ def words(text: str) -> list[str]:
     return WORD.findall(text.casefold())
 
 
-def edit_distance(a: np.ndarray, b: np.ndarray, most: int) -> int:
-    """Edit distance of two short sequences, or most + 1."""
-    row = np.arange(len(b) + 1)
-    for i, x in enumerate(a, 1):
-        new = np.minimum(row[1:] + 1, row[:-1] + (b != x))
-        new = np.concatenate(([i], new))
-        new = np.minimum.accumulate(new - np.arange(len(new))) + np.arange(len(new))
-        if new.min() > most:
-            return most + 1
+def edit_distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Edit distance of each row of ``a`` to the same row of ``b``, all of one length: one table for all rows at once."""
+    row = np.broadcast_to(np.arange(b.shape[1] + 1, dtype=np.int16), (len(a), b.shape[1] + 1)).copy()
+    for i in range(a.shape[1]):
+        new = np.empty_like(row)
+        new[:, 0] = i + 1
+        step = np.minimum(row[:, 1:] + 1, row[:, :-1] + (a[:, i : i + 1] != b))
+        for j in range(b.shape[1]):
+            new[:, j + 1] = np.minimum(step[:, j], new[:, j] + 1)
         row = new
-    return int(min(row[-1], most + 1))
+    return row[:, -1]
 
 
 @dataclass
@@ -54,6 +58,9 @@ class Index:
     mixers: np.ndarray  # SAMPLED odd multipliers
     keys: list[np.ndarray]
     order: list[np.ndarray]
+    expected: float  # recall of windows at the allowed edits
+    pieces: np.ndarray  # hashes of the items' runs of width // (edits + 1) words
+    may: np.ndarray  # a bit for each value of a piece's first bits
 
 
 def embed_keys(ids: np.ndarray, starts: np.ndarray, width: int, coins: np.ndarray, picks: np.ndarray, mixers: np.ndarray) -> np.ndarray:
@@ -76,7 +83,28 @@ def embed_keys(ids: np.ndarray, starts: np.ndarray, width: int, coins: np.ndarra
     return key
 
 
-def build_index(items: list[tuple[int, str]], width: int, edits: int, recall: float, seed: int = 7) -> Index:
+def _piece_hashes(ids: np.ndarray, n: int) -> np.ndarray:
+    """A hash of each run of ``n`` words."""
+    h = np.zeros(max(0, len(ids) - n + 1), np.uint64)
+    for j in range(n):
+        h = (h ^ ids[j : j + len(h)].astype(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
+        h ^= h >> np.uint64(31)
+    return h
+
+
+def _may_match(ids: np.ndarray, starts: np.ndarray, index: Index) -> np.ndarray:
+    """Windows that hold a run of words of some item: ``edits`` edits leave one of edits + 1 equal pieces whole, so no match is lost."""
+    n = index.width // (index.edits + 1)
+    h = _piece_hashes(ids, n)
+    held = np.flatnonzero(index.may[(h >> np.uint64(44)).astype(np.int64)])
+    at = np.minimum(np.searchsorted(index.pieces, h[held]), len(index.pieces) - 1)
+    told = np.zeros(len(h) + 1, np.int64)
+    told[held[index.pieces[at] == h[held]] + 1] = 1
+    told = np.cumsum(told)
+    return told[starts + index.width - n + 1] > told[starts]
+
+
+def build_index(items: list[tuple[int, str]], width: int, edits: int, recall: float, seed: int = 7, most_repeats: int = MOST_REPEATS) -> Index:
     vocabulary: dict[str, int] = {}
     ids, item_of, starts, base = [], [], [], 0
     for item, text in items:
@@ -95,16 +123,25 @@ def build_index(items: list[tuple[int, str]], width: int, edits: int, recall: fl
     )
     mixers = random.integers(0, 2**64, SAMPLED, np.uint64) | np.uint64(1)
     coins, picks = zip(*[draw()])
+    expected = 1.0
     if edits and len(starts_a):
-        survives = _survival(ids_a, starts_a, width, edits, coins[0], picks[0], mixers, random)
-        repeats = math.ceil(math.log(1 - recall) / math.log(1 - min(max(survives, 1e-3), 0.999)))
-        coins, picks = zip(*[draw() for _ in range(max(1, repeats))])
+        # Keys differ in how much they survive, so as many draws as may be needed are measured, and as many used as are needed.
+        missed, kept = 1.0, []
+        while len(kept) < most_repeats and missed > 1 - recall:
+            one = draw()
+            missed *= 1 - _survival(ids_a, starts_a, width, edits, one[0], one[1], mixers, random)
+            kept.append(one)
+        coins, picks = zip(*kept)
+        expected = 1 - missed
     keys, order = [], []
     for c, p in zip(coins, picks):
         k = embed_keys(ids_a, starts_a, width, c, p, mixers)
         o = np.argsort(k, kind="stable")
         keys.append(k[o]), order.append(o)
-    return Index(vocabulary, ids_a, np.array(item_of, np.int64), starts_a, width, edits, np.array(coins), np.array(picks), mixers, keys, order)
+    pieces = np.unique(_piece_hashes(ids_a, width // (edits + 1)))
+    may = np.zeros(1 << 20, bool)
+    may[(pieces >> np.uint64(44)).astype(np.int64)] = True
+    return Index(vocabulary, ids_a, np.array(item_of, np.int64), starts_a, width, edits, np.array(coins), np.array(picks), mixers, keys, order, expected, pieces, may)
 
 
 def _survival(ids, starts, width, edits, coins, picks, mixers, random) -> float:
@@ -143,49 +180,67 @@ def matches(texts: list[str], index: Index) -> list[tuple[int, int]]:
     known = np.concatenate(([0], np.cumsum(ids > 0)))
     keep = (known[starts + width] - known[starts] >= width - index.edits) & (owner[starts] == owner[starts + width - 1])
     starts = starts[keep]
-    found: set[tuple[int, int]] = set()
+    if index.edits and len(starts):
+        starts = starts[_may_match(ids, starts, index)]
+    found = np.zeros((0, 2), np.int64)
+    spread = np.arange(width)
     for coins, picks, keys, order in zip(index.coins, index.picks, index.keys, index.order):
         own = embed_keys(ids, starts, width, coins, picks, index.mixers)
         low, high = np.searchsorted(keys, own, "left"), np.searchsorted(keys, own, "right")
-        for w in np.flatnonzero(high > low):
-            window = ids[starts[w] : starts[w] + width]
-            for e in order[low[w] : high[w]]:
-                pair = int(owner[starts[w]]), int(index.item_of[e])
-                if pair in found:
-                    continue
-                held = index.ids[index.starts[e] : index.starts[e] + width]
-                if edit_distance(held, window, index.edits) <= index.edits if index.edits else np.array_equal(held, window):
-                    found.add(pair)
-    return sorted(found)
+        hit = np.flatnonzero(high > low)
+        many = np.cumsum(high[hit] - low[hit])
+        # A key that many windows of both sides have is verified in parts, so memory stays bounded.
+        cuts = np.searchsorted(many, np.arange(VERIFIED, (many[-1] if len(many) else 0) + VERIFIED, VERIFIED), "left") + 1
+        first = 0
+        for last in cuts:
+            part = hit[first:last]
+            first = last
+            if not len(part):
+                continue
+            sizes = high[part] - low[part]
+            window = np.repeat(part, sizes)
+            at = np.arange(len(window)) - np.repeat(np.cumsum(sizes) - sizes, sizes) + np.repeat(low[part], sizes)
+            entry = order[at]
+            pairs = np.stack([owner[starts[window]], index.item_of[entry]], 1)
+            a, b = index.ids[index.starts[entry][:, None] + spread], ids[starts[window][:, None] + spread]
+            good = edit_distances(a, b) <= index.edits if index.edits else (a == b).all(1)
+            found = np.unique(np.concatenate([found, pairs[good]]), axis=0)
+    return [(int(d), int(i)) for d, i in found]
 
 
 def leaked_items(
-    documents: DataFrame, items: DataFrame, width: int = 13, edits: int = 0, recall: float = 0.99, block_chars: int = BLOCK_CHARS
+    documents: DataFrame, items: DataFrame, width: int = 13, edits: int = 0, recall: float = 0.99, block_bytes: int = BLOCK_BYTES, most_repeats: int = MOST_REPEATS
 ) -> DataFrame:
     """(doc_id, item_id) of every document that holds ``width`` consecutive words of an item.
 
     Each window of a document is embedded by a CGK random walk over its words, which turns edit
     distance into Hamming distance; sampled coordinates form an LSH key that is looked up among
-    the keys of the items' windows; a hit is then verified word by word. With ``edits`` > 0 windows
-    within that edit distance match too, and the number of repetitions follows from the measured
-    share of keys that survive so many edits and the wanted recall. With 0 edits equal windows have
-    equal walks: one repetition finds all of them.
+    the keys of the items' windows; hits are then verified word by word. With ``edits`` > 0 windows
+    within that edit distance match too; repetitions are added until the measured share of keys
+    that survive so many edits gives the wanted recall. Where ``most_repeats`` of them don't, a
+    warning tells the recall that is expected. With 0 edits equal windows have equal walks: one
+    repetition finds all of them. With edits, windows of which no piece can have stayed whole are not
+    embedded, which loses no match.
 
     Documents are never shuffled: the items, a stated query set, go to the executors in blocks of
-    at most ``block_chars`` characters, with one pass over the documents per block. Words are runs
+    at most about ``block_bytes`` bytes of keys, with one pass over the documents per block. Words are runs
     of letters and digits without regard to case. Null texts and ids, and items of fewer than
     ``width`` words, match nothing; repeated rows change nothing.
     """
     spark = documents.sparkSession
     asked = items.filter("item_id is not null and text is not null").select("item_id", "text")
     total = asked.agg(F.sum(F.length("text"))).first()[0] or 0
-    blocks = max(1, -(-2 * int(total) // block_chars)) if total > block_chars else 1
+    # A word and what parts it from the next take two characters at least; a key and its place take 16 bytes.
+    blocks = max(1, -(-8 * int(total) * (most_repeats if edits else 1) // block_bytes))
     texts = documents.filter("doc_id is not null and text is not null").select("doc_id", "text")
     result = None
     for b in range(blocks):
         part = asked if blocks == 1 else asked.filter(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == b)
         rows = [(r[0], r[1]) for r in part.orderBy("item_id").toLocalIterator()]  # at most a block
-        shared = spark.sparkContext.broadcast(build_index(rows, width, edits, recall))
+        index = build_index(rows, width, edits, recall, most_repeats=most_repeats)
+        if index.expected < recall:
+            warnings.warn(f"{most_repeats} repetitions reach a recall of {index.expected:.3f} of windows at {edits} edits, not {recall}", stacklevel=2)
+        shared = spark.sparkContext.broadcast(index)
 
         def run(batches: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
             index = shared.value

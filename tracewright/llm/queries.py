@@ -36,6 +36,11 @@ def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leaks.leaked_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"))
 
 
+def p9_near(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Passages of 13 words within two inserted, lost or changed words."""
+    return leaks.leaked_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"), edits=2, recall=0.95)
+
+
 def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return truncation.cut_documents(table(spark, sf_dir, "documents"))
 
@@ -44,4 +49,4 @@ def p10_share(spark: SparkSession, sf_dir: str) -> DataFrame:
     return truncation.cut_share(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p2_found, p4_found, p7_found, p7_pieces, p8_pack, p9_found, p10_found, p10_share)}
+QUERIES = {f.__name__: f for f in (p1_found, p2_found, p4_found, p7_found, p7_pieces, p8_pack, p9_found, p9_near, p10_found, p10_share)}
