@@ -3,6 +3,7 @@ import sys
 import time
 from pathlib import Path
 
+import pytest
 from pyspark.sql import functions as F
 
 from tracewright.sources import readers, sinks
@@ -14,7 +15,16 @@ ROOT = Path(__file__).resolve().parent.parent
 def test_readers_and_sinks(spark, rows, tmp_path):
     p = tmp_path / "a.jsonl"
     p.write_text('{"id": 1, "x": "é"}\n\nnot json\n[1]\n{"id": 2}\n', encoding="utf-8")
-    assert rows(readers.json_lines(spark, str(p), "id int, x string").filter("id is not null")) == [(1, "é"), (2, None)]
+    with pytest.raises(Exception, match="MALFORMED"):
+        readers.json_lines(spark, str(p), "id int, x string").collect()
+    good = tmp_path / "good.jsonl"
+    good.write_text('{"id": 1, "x": "é"}\n\n  \n{"id": 2}\n', encoding="utf-8")
+    assert rows(readers.json_lines(spark, str(good), "id int, x string")) == [(1, "é"), (2, None)]
+    with pytest.raises(Exception, match="blank line"):
+        readers.json_lines(spark, str(good), "id int, x string", strict=True).collect()
+    contexts = tmp_path / "c.jsonl"
+    contexts.write_text('{"instance_id": "i", "issue": "old"}\n\n{"instance_id": "i", "issue": "new", "conversation": "talk"}\n{"instance_id": "j"}\n{"issue": "none"}\n')
+    assert rows(readers.context_lines(spark, str(contexts))) == [("i", "new", "talk"), ("j", "", "")]
     assert readers.tolerant_json_lines(spark, str(p)).count() == 2
     k = tmp_path / "k.jsonl"
     k.write_text('{"i1": {"score": 1.0}, "i2": {"score": 0.5}}\n')
@@ -25,7 +35,26 @@ def test_readers_and_sinks(spark, rows, tmp_path):
     df = spark.createDataFrame([(1, "a"), (2, "b")], "id int, g string")
     sinks.replace_json(df, out)
     sinks.replace_json(spark.read.json(out).filter("id = 1"), out)
+    (tmp_path / "out").rename(tmp_path / "out.old")  # a crash between the two renames
+    sinks.replace_json(df.filter("id = 1"), out)
+    assert not (tmp_path / "out.old").exists()
     sinks.append_json(df.filter("id = 2"), out)
+    sinks.record_and_log(spark.createDataFrame([("a", 1, "line\nline"), ("b", 2, None)], "g string, n int, log string"), str(tmp_path / "results"), ["g"], "log")
+    assert rows(spark.read.text(str(tmp_path / "results" / "record"))) == [('{"g":"a","n":1}', "a"), ('{"g":"b","n":2}', "b")]
+    assert rows(spark.read.text(str(tmp_path / "results" / "log")).filter("value <> ''")) == [("line", "a"), ("line", "a")]
+    sinks.single_json(df.limit(1), str(tmp_path / "one"))
+    assert len(list((tmp_path / "one").glob("*.json"))) == 1
+    assert [r[0] for r in readers.folder_names(spark, str(tmp_path / "results")).collect()] == ["log", "record"]
+    assert readers.folder_names(spark, str(tmp_path / "missing")).count() == 0
+    for name, text in (("m1/a.json", '{"info": {"model": "x"},\n "n": 1}'), ("m1/deep/b.json", "{broken"), ("m2/c.txt", "{}")):
+        f = tmp_path / "tree" / name
+        f.parent.mkdir(parents=True, exist_ok=True)
+        f.write_text(text)
+    tree = readers.json_tree(spark, str(tmp_path / "tree"), "info struct<model string>, n int")
+    assert [(r.info.model, r.n, r.file_path.endswith("m1/a.json")) for r in tree.collect()] == [("x", 1, True)]
+    df.write.parquet(str(tmp_path / "pq"))
+    (tmp_path / "pq" / "broken.parquet").write_bytes(b"no parquet at all")
+    assert rows(readers.parquet_parts(spark, str(tmp_path / "pq"))) == [(1, "a"), (2, "b")]
     assert rows(spark.read.json(out), "id") == [(1,), (2,)]
     sinks.partitioned_json(df, str(tmp_path / "parts"), ["g"])
     assert (tmp_path / "parts" / "g=a").is_dir()

@@ -122,10 +122,34 @@ def test_bookkeeping(spark, rows):
     assert rows(runs.latest_rows(r, ["explorer", "top_k", "instance_id"], ["pos"]), "pos") == [(2,), (3,), (4,)]
     cases = spark.createDataFrame([(1,), (2,), (3,)], "instance_id int")
     assert rows(runs.pending_cases(cases, r, 2, ["x"]), "instance_id") == [(2,), (3,)]
-    assert runs.secret_key("API-Key") and not runs.secret_key("max_token") and runs.redact({"a": [{"token": "x"}]}) == {"a": [{"token": "***"}]}
     assert runs.identity({"b": 1, "a": 2}) == runs.identity({"a": 2, "b": 1})
 
 
+@pytest.mark.parametrize(
+    "name, secret",
+    [(n, True) for n in ("npm_token", "nvidia_api_key", "netlify_secret", "input_token_secret", "access_key", "session_cookie", "tokens", "API-Key", "auth", "AWS_ACCESS_KEY_ID", "Authorization", "db.password")]
+    + [(n, False) for n in ("max_token", "maxTokens", "min_keys", "num_tokens", "total_tokens", "count_keys", "limit_token", "oauth", "tokenizer", "author", "keyboard", "", "model")],
+)
+def test_secret_names(spark, name, secret):
+    assert runs.secret_key(name) is secret and one(spark, runs.secret_name(F.col("n")), n=name) is secret
+
+
+def test_redaction():
+    value = {
+        "npm_token": "x", "tokens": 4096, "auth": {"user": "u", "deep": [{"n": "v"}, "w"], "max_tokens": "7"}, "env": {"A": 1, "B": {"c": "d"}}, "headers": {"x": None}, "list": [{"token": "x", "name": "y"}],
+        "model": "m", "keys": ["a", 1, None], "environment": "plain", "empty": {},
+    }
+    h = runs.HIDDEN
+    assert runs.redact(value) == {
+        "npm_token": h, "tokens": 4096, "auth": {"user": h, "deep": [{"n": h}, h], "max_tokens": h}, "env": {"A": h, "B": h}, "headers": {"x": h}, "list": [{"token": h, "name": "y"}],
+        "model": "m", "keys": [h, 1, None], "environment": "plain", "empty": {},
+    }
+    deep = "x"
+    for _ in range(5000):
+        deep = [deep]
+    assert runs.redact({"secret": deep})["secret"] != deep and value["npm_token"] == "x"
+
+
 def test_normalisers(spark):
     t = "array<struct<role string, content string, tool_calls array<struct<id string, type string, function struct<name string, arguments string>>>, name string, tool_call_id string>>"
     talk = [("user", "x <issue_description> bug </issue_description>", None, "n", "i"), ("assistant", "a", [("1", "function", ("f", "{}"))], "n", "i"), ("tool", "t", None, "n", "i")]

@@ -7,7 +7,7 @@ import json
 import re
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Outcomes of a case.
@@ -17,9 +17,11 @@ IGNORED_FIELDS = ("model_source",)
 
 
 def latest_rows(rows: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
-    """The last row of each key by ``order``, which must be total within a key."""
-    w = Window.partitionBy(*keys).orderBy(*[F.desc(c) for c in order])
-    return rows.withColumn("__r", F.row_number().over(w)).filter("__r = 1").drop("__r")
+    """The last row of each key by ``order``, which must be total within a key; combined before the shuffle, so a hot key sorts nothing."""
+    place = F.struct(*order)
+    others = [c for c in rows.columns if c not in keys]
+    last = rows.groupBy(*keys).agg(F.max_by(F.struct(*others), place).alias("__last"))
+    return last.select(*[F.col(c) if c in keys else F.col("__last")[c].alias(c) for c in rows.columns])
 
 
 def first_non_empty(rows: DataFrame, keys: Sequence[str], value: str, order: Sequence[str]) -> DataFrame:
@@ -82,20 +84,58 @@ def outcome_of(return_code: str = "return_code", timed_out: str = "timed_out", h
     )
 
 
-_SECRET = re.compile(r"(?:apikey|secret|password|passwd|credential|credentials|token|authorization|privatekey)$")
-_QUANTITY = re.compile(r"^(?:max|min|num|n|total|input|output|prompt|completion|cache)")
+# How names of settings that hold secrets end, how those of mere numbers begin (letters only), and maps of which only the names are kept.
+SECRET_ENDINGS = (
+    "key", "keys", "keyid", "secret", "secrets", "password", "passwords", "passwd", "passphrase", "passphrases", "token", "tokens", "credential", "credentials",
+    "cookie", "cookies", "authorization",
+)
+SECRET_NAMES = ("auth",)
+NUMBER_BEGINNINGS = ("max", "min", "num", "total", "count", "limit")
+OPAQUE_MAPS = ("environment", "env", "headers")
+HIDDEN = "<redacted>"
+
+_NUMBER_NAME = re.compile("|".join(NUMBER_BEGINNINGS))
+_SECRET_NAME = re.compile(f".*(?:{'|'.join(SECRET_ENDINGS)})|(?:{'|'.join(SECRET_NAMES)})")
 
 
 def secret_key(name: str) -> bool:
-    """Whether a setting's name, letters only, ends like a secret's; names of quantities (max_token) do not."""
-    letters = re.sub(r"[^a-z]", "", name.lower())
-    return bool(_SECRET.search(letters)) and not _QUANTITY.match(letters)
+    """Whether a setting's name, letters only, is or ends like a secret's; names of numbers (max_tokens) are not."""
+    letters = re.sub("[^a-z]", "", name.lower())
+    return _SECRET_NAME.fullmatch(letters) is not None and _NUMBER_NAME.match(letters) is None
+
+
+def secret_name(name: Column) -> Column:
+    """:func:`secret_key` of a column; null is no secret."""
+    letters = F.regexp_replace(F.lower(name), "[^a-z]", "")
+    return F.coalesce(letters.rlike(f"^(?:{_SECRET_NAME.pattern})$") & ~letters.rlike(f"^(?:{_NUMBER_NAME.pattern})"), F.lit(False))
 
 
 def redact(value: object) -> object:
-    if isinstance(value, dict):
-        return {k: "***" if secret_key(str(k)) and v else redact(v) for k, v in value.items()}
-    return [redact(v) for v in value] if isinstance(value, list) else value
+    """A configuration with every text under a secret name replaced, however deep below it; a name of its own below it counts instead.
+
+    Maps of variables and headers keep their names only. Numbers are settings, not secrets.
+    """
+    work: list[tuple[object, object, str]] = []
+
+    def copied(at: object, above: str) -> object:
+        """A container is copied now and filled later, so depth costs no stack."""
+        if isinstance(at, dict):
+            return dict.fromkeys(sorted(at), HIDDEN) if above.lower() in OPAQUE_MAPS else later({}, at, above)
+        if isinstance(at, list):
+            return later([None] * len(at), at, above)
+        return HIDDEN if isinstance(at, str) and secret_key(above) else at
+
+    def later(copy: object, at: object, above: str) -> object:
+        work.append((copy, at, above))
+        return copy
+
+    out = copied(value, "")
+    while work:
+        copy, at, above = work.pop()
+        for name, inner in at.items() if isinstance(at, dict) else enumerate(at):
+            own = isinstance(name, str) and (secret_key(name) or name.lower() in OPAQUE_MAPS)
+            copy[name] = copied(inner, name if own else above)
+    return out
 
 
 def identity(value: object) -> str:

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterable, Iterator
 
 import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -17,11 +19,30 @@ EXCLUDED_DIRS = (".git", "node_modules", "oh_modules", "build", ".hvigor", "dist
 
 
 def json_lines(spark: SparkSession, path: str, schema: StructType | str, strict: bool = False) -> DataFrame:
-    """One object per line; blank lines are skipped. ``strict`` fails on any bad line, blank ones too."""
-    if strict:
-        raw = spark.read.text(path)
-        return raw.select(F.from_json("value", schema, {"mode": "FAILFAST"}).alias("r")).select("r.*")
-    return spark.read.schema(schema).option("mode", "DROPMALFORMED").json(path)
+    """One object per line; a bad line fails the job. Blank lines are skipped, or are bad lines with ``strict``."""
+    raw = spark.read.text(path)
+    lines = raw if strict else raw.filter(F.col("value").rlike(r"(?U)\S"))
+    # An empty text parses to null instead of failing.
+    text = F.when(F.trim("value") == "", F.raise_error(F.lit("blank line"))).otherwise(F.col("value")) if strict else F.col("value")
+    return lines.select(F.from_json(text, schema, {"mode": "FAILFAST"}).alias("r")).select("r.*")
+
+
+def context_lines(spark: SparkSession, path: str) -> DataFrame:
+    """Lines of contexts (instance_id, issue, conversation), the last line of an instance wins; a missing text is empty."""
+    raw = spark.read.text(path).filter(F.col("value").rlike(r"(?U)\S")).withColumn("at", F.monotonically_increasing_id())
+    r = F.from_json("value", "instance_id string, issue string, conversation string", {"mode": "FAILFAST"})
+    rows = raw.select("at", r.alias("r")).filter("r.instance_id is not null")
+    last = rows.groupBy("r.instance_id").agg(F.max_by("r", "at").alias("r"))
+    return last.select("r.instance_id", F.coalesce("r.issue", F.lit("")).alias("issue"), F.coalesce("r.conversation", F.lit("")).alias("conversation"))
+
+
+def folder_names(spark: SparkSession, root: str) -> DataFrame:
+    """Names of the folders right below ``root``, sorted: one row per folder, files left out. The listing of one folder is small."""
+    jvm = spark._jvm
+    folder = jvm.org.apache.hadoop.fs.Path(root)
+    fs = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+    names = [s.getPath().getName() for s in fs.listStatus(folder) if s.isDirectory()] if fs.exists(folder) else []
+    return spark.createDataFrame([(n,) for n in sorted(names)], "name string")
 
 
 def tolerant_json_lines(spark: SparkSession, path: str) -> DataFrame:
@@ -43,9 +64,17 @@ def json_tree(spark: SparkSession, path: str, schema: StructType | str, glob: st
     return docs.select(F.col("_metadata.file_path").alias("file_path"), "*")
 
 
-def parquet_parts(spark: SparkSession, glob: str) -> DataFrame:
-    """Parquet parts; corrupt ones are skipped."""
-    return spark.read.option("ignoreCorruptFiles", True).parquet(glob)
+def parquet_parts(spark: SparkSession, glob: str, schema: StructType | str | None = None) -> DataFrame:
+    """Parquet parts; corrupt ones are skipped. Without a schema it is taken from one part, from all of them if that one is corrupt."""
+    reader = spark.read.option("ignoreCorruptFiles", True)
+    if schema is not None:
+        return reader.schema(schema).parquet(glob)
+    try:
+        return reader.parquet(glob)
+    except AnalysisException as e:
+        if e.getCondition() != "UNABLE_TO_INFER_SCHEMA":
+            raise
+        return reader.option("mergeSchema", True).parquet(glob)
 
 
 def event_lines(raw: DataFrame, text: str = "value", keys: Iterable[str] = ()) -> DataFrame:
@@ -67,17 +96,17 @@ def _decoded(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 def source_tree(spark: SparkSession, root: str, suffixes: Iterable[str] = SOURCE_SUFFIXES, excluded: Iterable[str] = EXCLUDED_DIRS) -> DataFrame:
     """Source files below a folder: path relative to it and text. Suffixes and folder names match without regard to case.
 
-    Bytes that are no UTF-8 are replaced. Order by path to get the reference order; byte order is code point order.
+    Bytes that are no UTF-8 are replaced. Order by path for a fixed order; byte order is code point order.
     """
     suffixes = tuple(s.lower() if s.startswith(".") else f".{s.lower()}" for s in ([suffixes] if isinstance(suffixes, str) else suffixes))
     excluded = [d.rstrip("/\\").lower() for d in ([excluded] if isinstance(excluded, str) else excluded)]
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
     base = root.rstrip("/").removeprefix("file:") + "/"
+    # A condition on the file's metadata prunes the listing, so the bytes of other files are never read.
+    place = F.lower(F.col("_metadata.file_path"))
+    start = re.escape(base.lower())
+    wanted = place.rlike("(?:" + "|".join(re.escape(s) for s in suffixes) + ")$")
+    if excluded:
+        wanted = wanted & ~place.rlike(f"{start}(?:.*/)?(?:{'|'.join(re.escape(d) for d in excluded)})/")
     rel = F.substring_index(F.regexp_replace("path", "^file:/*", "/"), base, -1)
-    keep = F.lit(False)
-    for s in suffixes:
-        keep = keep | F.lower("rel").endswith(s)
-    folders = F.slice(F.split(F.lower("rel"), "/"), 1, F.size(F.split("rel", "/")) - 1)
-    banned = F.exists(folders, lambda d: d.isin(*excluded)) if excluded else F.lit(False)
-    return files.withColumn("rel", rel).filter(keep & ~banned).select(F.col("rel").alias("path"), "content").mapInPandas(_decoded, "path string, text string")
-
+    return files.filter(wanted).select(rel.alias("path"), "content").mapInPandas(_decoded, "path string, text string")

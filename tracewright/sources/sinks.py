@@ -18,17 +18,47 @@ def partitioned_json(df: DataFrame, path: str, by: Sequence[str]) -> None:
 
 
 def replace_json(df: DataFrame, path: str) -> None:
-    """Replaces a folder in two steps, so that ``df`` may have been read from it: written beside it first, then swapped."""
-    spark = df.sparkSession
-    staging = path.rstrip("/") + ".staging"
+    """Replaces a folder, so that ``df`` may have been read from it and a crash loses nothing.
+
+    The new data are written beside it, the old folder is renamed aside, the new one takes its
+    place, and only then is the old one deleted. After a crash between the renames the old data lie
+    in ``path.old``; the next call puts them back first.
+    """
+    staging, aside = (path.rstrip("/") + x for x in (".staging", ".old"))
+    jvm = df.sparkSession._jvm
+    target, staged, old = (jvm.org.apache.hadoop.fs.Path(p) for p in (path, staging, aside))
+    fs = target.getFileSystem(df.sparkSession._jsc.hadoopConfiguration())
+
+    def move(a, b) -> None:
+        if not fs.rename(a, b):
+            raise OSError(f"could not move {a} to {b}")
+
+    if fs.exists(old):
+        if fs.exists(target):
+            fs.delete(old, True)
+        else:
+            move(old, target)
     df.write.mode("overwrite").json(staging)
-    jvm = spark._jvm
-    target, staged = jvm.org.apache.hadoop.fs.Path(path), jvm.org.apache.hadoop.fs.Path(staging)
-    fs = target.getFileSystem(spark._jsc.hadoopConfiguration())
     if fs.exists(target):
-        fs.delete(target, True)
-    if not fs.rename(staged, target):
-        raise OSError(f"could not move {staging} to {path}")
+        move(target, old)
+    move(staged, target)
+    fs.delete(old, True)
+
+
+def json_tree(df: DataFrame, path: str, by: Sequence[str], body: str) -> None:
+    """One folder per combination of ``by``, with the text column ``body`` as its lines: a tree of one record, or one log, per instance.
+
+    Rows are clustered by the folder first, so each folder gets few files however many tasks there are.
+    """
+    df.select(*by, body).repartition(*by).write.mode("overwrite").partitionBy(*by).text(path)
+
+
+def record_and_log(df: DataFrame, path: str, by: Sequence[str], log: str) -> None:
+    """Per result its record as JSON below ``path/record`` and its log as text below ``path/log``; a null log is an empty one."""
+    record = F.to_json(F.struct(*[c for c in df.columns if c != log]))
+    told = df.select(*by, record.alias("record"), F.coalesce(log, F.lit("")).alias("log"))
+    json_tree(told, f"{path.rstrip('/')}/record", by, "record")
+    json_tree(told, f"{path.rstrip('/')}/log", by, "log")
 
 
 def clashing_targets(pairs: DataFrame, path: str = "path") -> DataFrame:
