@@ -79,6 +79,16 @@ def test_bm25_by_hand(spark):
     assert [got[2, r] for r in (1, 2, 3)] == [(0, 0.0), (1, 0.0), (2, 0.0)]
 
 
+def test_bm25_by_group_and_empty(spark, rows):
+    docs = spark.createDataFrame([("r", i, t) for i, t in enumerate(["a b a", "b c", "c d e"])] + [("s", i, t) for i, t in enumerate(["a", "x a", "y"])] + [(None, 9, "a")], "repo string, chunk_seq int, content string")
+    q = spark.createDataFrame([("r", 1, "a b"), ("s", 1, "a y"), ("t", 1, "a"), (None, 1, "a"), ("r", 2, " ")], "repo string, query_id int, text string")
+    both = rows(rt.bm25(docs, q, 2, ["repo"]), "repo", "query_id", "chunk_seq", "rank")
+    alone = [(r, *x) for r in "rs" for x in rows(rt.bm25(docs.filter(f"repo = '{r}'").drop("repo"), q.filter(f"repo = '{r}'").drop("repo"), 2), "query_id", "chunk_seq", "rank")]
+    assert both == sorted(alone, key=str) and len(both) == 4
+    for d, x in ((docs.limit(0), q), (docs, q.limit(0))):
+        assert rt.bm25(d.drop("repo"), x.drop("repo"), 2).count() == 0 and rt.tfidf(d.drop("repo"), x.drop("repo"), ["the"]).count() == 0
+
+
 def test_chunks(spark, rows):
     f = spark.createDataFrame([("r", "a", "\n".join(map(str, range(25)))), ("r", "b", " \n\n"), ("r", "c", ""), ("r", "d", None), ("r", "e", "x\r\ny\u2028z\n")], "repo string, path string, text string")
     assert rows(rt.chunk_files(f, 10, 2), "path", "start", "end") == [("a", 1, 10), ("a", 17, 25), ("a", 9, 18), ("e", 1, 3)]

@@ -2,25 +2,30 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+import math
+from collections import Counter
+from collections.abc import Callable, Iterator, Sequence
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tracewright.functions.text import identifiers, split_lines, words
+from tracewright.functions.text import identifiers, split_lines, word_counts, words
 from tracewright.operators.ordering import running_totals
-from tracewright.session import cut_lineage
+from tracewright.session import cut_lineage, small
 
 #: Names that come first for the rule-based ranking, in this order.
 PRIORITY_NAMES = ("__init__.py", "setup.py", "main.py", "__main__.py", "config.py", "constants.py", "settings.py")
 K1, B, EPSILON = 1.5, 0.75, 0.25
+#: Texts that are multiplied with a block at once.
+TEXT_BLOCK = 256
 #: Query vectors that go to the executors at once.
 QUERY_BLOCK = 1024
 
 
-def chunk_files(files: DataFrame, size: int = 80, overlap: int = 20, max_chunks: int | None = 3000, repo: str = "repo") -> DataFrame:
+def chunk_files(files: DataFrame, size: int = 80, overlap: int = 20, max_chunks: int | None = None, repo: str = "repo") -> DataFrame:
     """Windows of ``size`` lines that share ``overlap`` lines, until one reaches the end of its file; blank windows are left out.
 
     Result: repo, path, chunk_seq (from 0, by path and start), start, end, content. The first
@@ -50,79 +55,159 @@ def chunk_files(files: DataFrame, size: int = 80, overlap: int = 20, max_chunks:
     return numbered if max_chunks is None else numbered.filter(F.col("chunk_seq") < max_chunks)
 
 
-def top_k(scored: DataFrame, query: str, k: int, ties: Sequence[str | Column] = ("chunk_seq",)) -> DataFrame:
+def top_k(scored: DataFrame, query: str | Sequence[str], k: int, ties: Sequence[str | Column] = ("chunk_seq",)) -> DataFrame:
     # Scores that differ only by the order of their sums are ties.
-    order = Window.partitionBy(query).orderBy(F.desc(F.round("score", 9)), *ties)
+    order = Window.partitionBy(*([query] if isinstance(query, str) else query)).orderBy(F.desc(F.round("score", 9)), *ties)
     return scored.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
 
 
+@dataclass
+class LexicalBlock:
+    """Asked words of some queries of one group: their columns, the weights of each query, and what the values of a text need."""
+
+    ids: np.ndarray
+    columns: dict[str, int]
+    weights: np.ndarray  # query x column
+    mean_length: float = 0.0
+
+
+def _blocks(pdf: pd.DataFrame, group: list[str]) -> dict[tuple, LexicalBlock]:
+    found = {}
+    for key, part in pdf.groupby(group, sort=False) if group else [((), pdf)] if len(pdf) else []:
+        ids, at = np.unique(part["query_id"].to_numpy(np.int64), return_inverse=True)
+        columns: dict[str, int] = {}
+        place = [columns.setdefault(w, len(columns)) for w in part["w"]]
+        weights = np.zeros((len(ids), len(columns)))
+        weights[at, place] = part["weight"]
+        found[key if isinstance(key, tuple) else (key,)] = LexicalBlock(ids, columns, weights, float(part["mean_length"].iloc[0]))
+    return found
+
+
+def _best(score: np.ndarray, keys: np.ndarray, best_s: np.ndarray, best_k: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """The best ``k`` of each query among those so far and new ones; scores that agree in nine digits go by key."""
+    s = np.hstack([best_s, score])
+    ids = np.hstack([best_k, np.broadcast_to(keys, score.shape)])
+    order = np.lexsort((ids, -np.round(s, 9)), axis=1)[:, :k]
+    return np.take_along_axis(s, order, 1), np.take_along_axis(ids, order, 1)
+
+
+def _scored(texts: DataFrame, weights: DataFrame, group: list[str], k: int, values: Callable[[Counter, int, LexicalBlock], Iterator[tuple[int, float]]], positive: bool) -> DataFrame:
+    """Best ``k`` texts (group, chunk_seq, ws) of every query of ``weights`` (group, query_id, w, weight, mean_length).
+
+    The queries, a stated set, go to the executors in blocks. Each task multiplies the counts of asked words
+    of its texts with a block and hands on its own best per query: what is shuffled follows queries and
+    tasks, never the pairs of queries and texts that share a word.
+    """
+    spark = texts.sparkSession
+    weights = cut_lineage(weights)
+    n = weights.select(*group, "query_id").distinct().count()
+    blocks = max(1, -(-n // QUERY_BLOCK))
+    kinds = dict(texts.dtypes)
+    result = None
+    for block in range(blocks):
+        part = weights if blocks == 1 else weights.filter(F.pmod(F.xxhash64(*group, "query_id"), F.lit(blocks)) == block)
+        shared = spark.sparkContext.broadcast(_blocks(part.toPandas(), group))  # at most about a block of queries
+
+        def run(batches: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
+            best: dict[tuple, tuple[np.ndarray, np.ndarray]] = {}
+            for batch in batches:
+                owners = list(zip(*[batch[g] for g in group])) if group else [()] * len(batch)
+                keys, ws = batch["chunk_seq"].to_numpy(np.int64), batch["ws"]
+                rows: dict[tuple, list[int]] = {}
+                for i, owner in enumerate(owners):
+                    rows.setdefault(owner, []).append(i)
+                for owner, own in rows.items():
+                    asked = shared.value.get(owner)
+                    if asked is None:
+                        continue
+                    for first in range(0, len(own), TEXT_BLOCK):
+                        some = own[first : first + TEXT_BLOCK]
+                        p = np.zeros((len(asked.columns), len(some)))
+                        for j, i in enumerate(some):
+                            for at, x in values(Counter(ws.iloc[i]), len(ws.iloc[i]), asked):
+                                p[at, j] = x
+                        so_far = best.get(owner) or (np.empty((len(asked.ids), 0)), np.empty((len(asked.ids), 0), np.int64))
+                        best[owner] = _best(asked.weights @ p, keys[some], *so_far, k)
+            for owner, (s, ids) in best.items():
+                out = pd.DataFrame({"query_id": np.repeat(shared.value[owner].ids, s.shape[1]), "chunk_seq": ids.ravel(), "score": s.ravel()})
+                for g, value in zip(group, owner):
+                    out[g] = value
+                yield out[[*group, "query_id", "chunk_seq", "score"]]
+
+        schema = ", ".join([f"{g} {kinds[g]}" for g in group] + ["query_id bigint", "chunk_seq bigint", "score double"])
+        found = texts.select(*group, "chunk_seq", "ws").mapInPandas(run, schema)
+        result = found if result is None else result.unionByName(found)
+    return top_k(result.filter("score > 0") if positive else result, [*group, "query_id"], k)
+
+
 def bm25(chunks: DataFrame, queries: DataFrame, k: int = 5, group: Sequence[str] = (), k1: float = K1, b: float = B, epsilon: float = EPSILON) -> DataFrame:
     """Okapi BM25 over blank-separated words with case: query_id, chunk_seq, score, rank.
 
     chunks: group columns, chunk_seq, content; queries: group columns, query_id, text. Inverse
     document frequencies below 0 become epsilon times the mean one. Words that a query repeats
     count each time. Scores of 0 and below are kept: a query that meets fewer than k chunks is
-    filled up by chunk_seq. Word counts are combined on the map side and only words of some query
-    are joined with it, so no chunk meets a query with which it shares no word.
+    filled up by chunk_seq. Queries without words, null
+    groups and groups without chunks have no result.
+
+    Texts are read twice: for document frequencies, which are combined before the shuffle, and
+    to score all queries of a block at once (:func:`_scored`), so a word that every text and
+    every query holds costs no more than a rare one.
     """
     group = list(group)
-    on = lambda *c: [*group, *c]
-    docs = chunks.select(*on("chunk_seq"), words(F.col("content")).alias("ws"))
-    stats = docs.groupBy(*group).agg(F.count("*").alias("n"), F.avg(F.size("ws")).alias("avgdl"))
-    tf = docs.select(*on("chunk_seq"), F.size("ws").alias("dl"), F.explode("ws").alias("w")).groupBy(*on("chunk_seq", "dl", "w")).agg(F.count("*").alias("tf"))
-    df = tf.groupBy(*on("w")).agg(F.count("*").alias("df"))
-
-    def attach(left: DataFrame, right: DataFrame) -> DataFrame:
-        # Without groups there is one row of statistics.
-        return left.join(F.broadcast(right), group) if group else left.crossJoin(F.broadcast(right.limit(1)))
-
-    raw = attach(df, stats).withColumn("raw", F.log((F.col("n") - F.col("df") + 0.5)) - F.log(F.col("df") + 0.5))
-    mean = raw.groupBy(*group).agg(F.avg("raw").alias("mean"))
-    asked = queries.select(*on("query_id"), F.explode(words(F.col("text"))).alias("w")).groupBy(*on("query_id", "w")).agg(F.count("*").alias("times"))
-    idf = attach(raw.join(asked.select(*on("w")).distinct(), on("w")), mean).select(
-        *on("w", "avgdl"), F.when(F.col("raw") < 0, epsilon * F.col("mean")).otherwise(F.col("raw")).alias("idf")
-    )
-    weight = F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))
-    scored = (
-        tf.join(idf, on("w"))
-        .withColumn("part", weight)
-        .join(asked, on("w"))
-        .groupBy(*on("query_id", "chunk_seq"))
-        .agg(F.sum(F.col("times") * F.col("part")).alias("score"))
-    )
-    first = chunks.select(*on("chunk_seq")).withColumn("r", F.row_number().over(Window.partitionBy(*group).orderBy("chunk_seq"))).filter(F.col("r") <= k).drop("r")
-    ids = queries.select(*on("query_id")).distinct()
-    fill = (ids.join(first, group) if group else ids.crossJoin(F.broadcast(first))).withColumn("score", F.lit(0.0))
-    fill = fill.join(scored.select(*on("query_id", "chunk_seq")), on("query_id", "chunk_seq"), "left_anti")
-    return top_k(scored.unionByName(fill), "query_id", k)
+    held = chunks.select(*group, "chunk_seq", words(F.col("content")).alias("ws"))
+    # One more entry per text, a null, carries its length: number and mean length of texts come from the same pass.
+    entry = F.explode(F.array_append(F.array_distinct("ws"), F.lit(None).cast("string"))).alias("w")
+    counted = cut_lineage(held.select(*group, F.size("ws").alias("n_words"), entry).groupBy(*group, "w").agg(F.count("*").alias("df"), F.sum("n_words").alias("n_words")))
+    one = [*group, F.lit(0).alias("__one")]
+    on = [*group, "__one"]
+    stats = small(counted.filter("w is null").select(*one, F.col("df").alias("n"), (F.col("n_words") / F.col("df")).alias("mean_length")))
+    raw = F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)
+    per_word = counted.filter("w is not null").select(*one, "w", "df").join(stats, on).select(*on, "w", "mean_length", raw.alias("raw"))
+    mean = small(per_word.groupBy(*on).agg(F.avg("raw").alias("mean")))
+    asked = queries.select(*one, F.col("query_id").cast("bigint").alias("query_id"), F.explode(words(F.col("text"))).alias("w")).groupBy(*on, "query_id", "w").agg(F.count("*").alias("times"))
+    idf = F.when(F.col("raw") < 0, epsilon * F.col("mean")).otherwise(F.col("raw"))
+    # A query of which no text holds a word still has its first k texts.
+    known = asked.join(stats.select(*on, F.col("mean_length").alias("length")), on).join(per_word.join(mean, on).select(*on, "w", idf.alias("idf")), [*on, "w"], "left")
+    weights = known.select(*group, "query_id", "w", F.coalesce(F.col("times") * F.col("idf") * (k1 + 1), F.lit(0.0)).alias("weight"), F.col("length").alias("mean_length"))
+
+    def values(counts: Counter, n_words: int, asked: LexicalBlock) -> Iterator[tuple[int, float]]:
+        norm = k1 * (1 - b + b * n_words / asked.mean_length) if asked.mean_length else k1
+        for w in counts.keys() & asked.columns.keys():
+            tf = counts[w]
+            yield asked.columns[w], tf / (tf + norm)
+
+    return _scored(held, weights, group, k, values, positive=False)
 
 
 def tfidf(chunks: DataFrame, queries: DataFrame, stop_words: Sequence[str], k: int = 5, max_features: int = 10_000) -> DataFrame:
     """Cosine of sublinear tf-idf over identifiers: query_id, chunk_seq, score, rank; only scores above 0.
 
     tf is 1 + ln(count), idf is ln((1 + n) / (1 + df)) + 1, the features are the ``max_features``
-    most frequent identifiers that are no stop words (ties by name), rows have length 1.
+    most frequent identifiers that are no stop words (ties by name), rows have length 1. Texts are
+    read twice: to find the features, whose counts are combined before the shuffle, and to score all
+    queries of a block at once (:func:`_scored`).
     """
-    def counted(df: DataFrame, key: str, text: str) -> DataFrame:
-        w = F.explode(identifiers(F.col(text))).alias("w")
-        return df.select(key, w).filter(~F.col("w").isin(list(stop_words))).groupBy(key, "w").agg(F.count("*").alias("c"))
-
-    tf = counted(chunks, "chunk_seq", "content")
-    n = chunks.agg(F.count("*").alias("n"))
-    per_word = tf.groupBy("w").agg(F.sum("c").alias("cf"), F.count("*").alias("df"))
-    # At most max_features rows.
-    kept = per_word.orderBy(F.desc("cf"), "w").limit(max_features).crossJoin(F.broadcast(n)).select("w", (F.log((1 + F.col("n")) / (1 + F.col("df"))) + 1).alias("idf"))
-    kept = cut_lineage(kept)
-
-    def weighted(counts: DataFrame, key: str) -> DataFrame:
-        v = counts.join(F.broadcast(kept), "w").withColumn("x", (1 + F.log("c")) * F.col("idf"))
-        norm = v.groupBy(key).agg(F.sqrt(F.sum(F.col("x") * F.col("x"))).alias("norm"))
-        return v.join(norm, key).select(key, "w", (F.col("x") / F.col("norm")).alias("x"))
-
-    docs = weighted(tf, "chunk_seq")
-    asked = weighted(counted(queries, "query_id", "text"), "query_id").withColumnRenamed("x", "y")
-    scored = docs.join(asked, "w").groupBy("query_id", "chunk_seq").agg(F.sum(F.col("x") * F.col("y")).alias("score")).filter("score > 0")
-    return top_k(scored, "query_id", k)
+    n = chunks.count()
+    stop = list(stop_words)
+    docs = chunks.select("chunk_seq", identifiers(F.col("content")).alias("ws"))
+    per_word = word_counts(docs, [], F.col("ws")).filter(F.col("w").isNotNull() & ~F.col("w").isin(stop)).groupBy("w").agg(F.sum("c").alias("cf"), F.count("*").alias("df"))
+    features = cut_lineage(per_word.orderBy(F.desc("cf"), "w").limit(max_features).select("w", (F.log(F.lit(1 + n) / (1 + F.col("df"))) + 1).alias("idf")))
+    idf = dict(features.toPandas().itertuples(index=False))  # at most max_features rows
+    counts = word_counts(queries.select(F.col("query_id").cast("bigint").alias("query_id"), identifiers(F.col("text")).alias("ws")), ["query_id"], F.col("ws"))
+    y = counts.join(F.broadcast(features), "w").select("query_id", "w", ((1 + F.log("c")) * F.col("idf")).alias("y"))
+    length = y.groupBy("query_id").agg(F.sqrt(F.sum(F.col("y") * F.col("y"))).alias("length"))
+    weights = y.join(length, "query_id").select("query_id", "w", (F.col("y") / F.col("length")).alias("weight"), F.lit(0.0).alias("mean_length"))
+    shared = chunks.sparkSession.sparkContext.broadcast(idf)
+
+    def values(counts: Counter, n_words: int, asked: LexicalBlock) -> Iterator[tuple[int, float]]:
+        known = shared.value
+        x = {w: (1 + math.log(c)) * known[w] for w, c in counts.items() if w in known}
+        # The length of a text's row counts all its features, not only those some query asks for.
+        norm = math.sqrt(sum(v * v for v in x.values()))
+        for w in x.keys() & asked.columns.keys():
+            yield asked.columns[w], x[w] / norm
+
+    return _scored(docs, weights, [], k, values, positive=True)
 
 
 def dense(vectors: DataFrame, queries: DataFrame, k: int = 5, positive: bool = True, key: str = "vec_id", query: str = "query_id", vector: str = "embedding") -> DataFrame:
