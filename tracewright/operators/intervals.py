@@ -181,6 +181,27 @@ def overlapping(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str
     return probe(left.filter(~inverted), stretches).unionByName(probe(left.filter(inverted), single))
 
 
+def covered_lines(rows: DataFrame, stretches: DataFrame, keys: Sequence[str], ids: Sequence[str]) -> DataFrame:
+    """For each row (keys, rs, re, and ``ids`` that tell it apart) the number of its lines in ``stretches`` (keys, s, e; merged): ids, common.
+
+    The covered lines up to a position follow from how many stretches begin and end before it and
+    from the sums of those positions, so one sweep answers both bounds of every row; rows and
+    stretches of a file are never paired.
+    """
+    keys, ids = list(keys), list(ids)
+    more = [c for c in ids if c not in keys]
+    n = lambda c, name: F.lit(c).cast("bigint").alias(name)
+    event = lambda at, begins, first, ends, last: F.struct(at.cast("bigint").alias("at"), n(begins, "nb"), first.cast("bigint").alias("sb"), n(ends, "ne"), last.cast("bigint").alias("se"))
+    zero = F.lit(0)
+    marks = stretches.filter("s <= e").select(*keys, F.explode(F.array(event(F.col("s"), 1, F.col("s"), 0, zero), event(F.col("e") + 1, 0, zero, 1, F.col("e")))).alias("x"))
+    bounds = rows.filter("rs <= re").select(*keys, *more, F.explode(F.array(F.struct((F.col("rs") - 1).alias("at"), F.lit(-1).alias("sign")), F.struct(F.col("re").alias("at"), F.lit(1).alias("sign")))).alias("q"))
+    both = marks.select(*keys, "x.*").unionByName(bounds.select(*keys, *more, "q.*"), allowMissingColumns=True)
+    upto = Window.partitionBy(*keys).orderBy("at", F.col("sign").isNotNull()).rowsBetween(Window.unboundedPreceding, 0)
+    total = lambda c: F.coalesce(F.sum(c).over(upto), F.lit(0))
+    covered = (F.col("at") + 1) * total("nb") - total("sb") - F.col("at") * total("ne") + total("se")
+    return both.withColumn("covered", covered).filter("sign is not null").groupBy(*ids).agg(F.sum(F.col("sign") * F.col("covered")).alias("common"))
+
+
 def runs_of_lines(df: DataFrame, keys: Sequence[str], line: str) -> DataFrame:
     """Single line numbers as ranges of consecutive ones."""
     return merge(df.select(*keys, F.col(line).alias("s"), F.col(line).alias("e")), keys)
@@ -203,9 +224,10 @@ def ground_truth(reads: DataFrame, members: DataFrame, modified: DataFrame) -> d
 
     core: lines that all trajectories of the instance read. optional: per model, the union of its
     trajectories' lines without the core. modified_core: paths that all of them modified. main:
-    modified_core paths with core lines. All tables come from one pass over the merged reads.
+    modified_core paths with core lines. Reads are merged per trajectory for the core and per model for
+    the optional context.
     """
-    core = cut_lineage(intersect_all(reads, ["instance_id"], "traj_id", members))  # read three times below
+    core = cut_lineage(intersect_all(reads, ["instance_id"], "traj_id", members))  # read by all results below
     models = reads.select("instance_id", "model").distinct()
     union = merge(reads, ["instance_id", "model", "path"])
     core_by_model = core.join(models, "instance_id")

@@ -9,6 +9,7 @@ without lines. Line sets are measured by sweeping over boundaries, never by list
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import cached_property
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -31,12 +32,33 @@ class Scoring:
         if scope == "gt":  # lengths are known of labelled files only
             labelled = core.select("path").unionByName(optional.select("path")).distinct()
             file_lines = file_lines.join(labelled, "path", "left_semi")
-        # Each metric reads these again, so what led to them is worked out once.
-        self.preds = cut_lineage(iv.resolve(preds, file_lines))
-        self.core = cut_lineage(iv.resolve(core, file_lines))
-        self.optional = cut_lineage(iv.resolve(optional, file_lines))
-        self.main = cut_lineage(main.select(*self.keys, "path").distinct())
-        self.cases = (cases if cases is not None else self.core.select(*self.keys)).select(*self.keys).distinct()
+        self._given = {"preds": preds, "core": core, "optional": optional, "main": main}
+        self._file_lines = file_lines
+        self._cases = cases
+
+    # Each metric reads some of these several times, so what led to them is worked out once, when the first metric asks.
+    def _resolved(self, name: str) -> DataFrame:
+        return cut_lineage(iv.resolve(self._given[name], self._file_lines))
+
+    @cached_property
+    def preds(self) -> DataFrame:
+        return self._resolved("preds")
+
+    @cached_property
+    def core(self) -> DataFrame:
+        return self._resolved("core")
+
+    @cached_property
+    def optional(self) -> DataFrame:
+        return self._resolved("optional")
+
+    @cached_property
+    def main(self) -> DataFrame:
+        return self._given["main"].select(*self.keys, "path").distinct()
+
+    @cached_property
+    def cases(self) -> DataFrame:
+        return (self._cases if self._cases is not None else self.core).select(*self.keys).distinct()
 
     def _lines(self, df: DataFrame) -> DataFrame:
         return df.filter("rs is not null and rs <= re").select(*self.keys, "path", F.col("rs").alias("s"), F.col("re").alias("e"))
@@ -46,20 +68,27 @@ class Scoring:
         joined = self.cases.join(df, self.keys, "left")
         return joined.select(*self.keys, *[F.coalesce(n, F.lit(0.0)).alias(n) for n in names])
 
-    def line_metrics(self) -> DataFrame:
-        """precision, recall, f1, context_efficiency, optional_coverage."""
+    def _line_counts(self, optional: bool) -> DataFrame:
+        """Numbers of predicted, core and optional lines and of those in common; without ``optional`` that context is not even built."""
         flag = lambda df, n: self._lines(df).select("*", *[F.lit(int(n == x)).alias(x) for x in "pco"])
-        events = flag(self.preds, "p").unionByName(flag(self.core, "c")).unionByName(flag(self.optional, "o"))
+        events = flag(self.preds, "p").unionByName(flag(self.core, "c"))
+        if optional:
+            events = events.unionByName(flag(self.optional, "o"))
         p, c, o = F.col("p") > 0, F.col("c") > 0, F.col("o") > 0
-        m = iv.lengths(events, self.keys, "path", ["p", "c", "o"], {"np": p, "nc": c, "no": o, "npc": p & c, "npo": p & o, "nu": p & (c | o)})
+        return iv.lengths(events, self.keys, "path", ["p", "c", "o"], {"np": p, "nc": c, "no": o, "npc": p & c, "npo": p & o, "nu": p & (c | o)})
+
+    def prf(self) -> DataFrame:
+        """precision, recall, f1."""
+        return self._all(self._line_counts(False).select(*self.keys, *self._prf()), "precision", "recall", "f1")
+
+    def _prf(self) -> list[Column]:
         precision, recall = _ratio(F.col("npc"), F.col("np")), _ratio(F.col("npc"), F.col("nc"))
-        out = m.select(
-            *self.keys,
-            precision.alias("precision"),
-            recall.alias("recall"),
-            _ratio(2 * precision * recall, precision + recall).alias("f1"),
-            _ratio(F.col("nu"), F.col("np")).alias("context_efficiency"),
-            _ratio(F.col("npo"), F.col("no")).alias("optional_coverage"),
+        return [precision.alias("precision"), recall.alias("recall"), _ratio(2 * precision * recall, precision + recall).alias("f1")]
+
+    def line_metrics(self) -> DataFrame:
+        """precision, recall, f1, context_efficiency, optional_coverage."""
+        out = self._line_counts(True).select(
+            *self.keys, *self._prf(), _ratio(F.col("nu"), F.col("np")).alias("context_efficiency"), _ratio(F.col("npo"), F.col("no")).alias("optional_coverage")
         )
         return self._all(out, "precision", "recall", "f1", "context_efficiency", "optional_coverage")
 
@@ -91,11 +120,8 @@ class Scoring:
         return self._all(out, "hit_region_rate", "noise_region_rate")
 
     def _overlap(self, left: DataFrame, right: DataFrame, id_columns: Sequence[str]) -> DataFrame:
-        """Lines of each row of ``left`` that lie in the merged ``right``."""
-        on = [*self.keys, "path"]
-        r = iv.merge(self._lines(right), on).withColumnsRenamed({"s": "ms", "e": "me"})
-        common = F.least("re", "me") - F.greatest("rs", "ms") + 1
-        return left.join(r, on).filter("rs <= me and ms <= re").groupBy(*id_columns).agg(F.sum(common).alias("common"))
+        """Lines of each row of ``left`` that lie in the merged ``right``; rows without any are left out."""
+        return iv.covered_lines(left, iv.merge(self._lines(right), [*self.keys, "path"]), [*self.keys, "path"], id_columns).filter("common > 0")
 
     def weighted_core_coverage(self) -> DataFrame:
         """Covered share of each resolvable core region, weighted 3 in main files and 2 elsewhere; regions count separately."""

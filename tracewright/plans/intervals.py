@@ -135,7 +135,7 @@ def last_context(spark, d):
 
 
 def metric_prf(spark, d):
-    return _scoring(spark, d).line_metrics().select("instance_id", "precision", "recall", "f1")
+    return _scoring(spark, d).prf()
 
 
 def metric_efficiency(spark, d):
