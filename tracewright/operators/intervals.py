@@ -255,13 +255,17 @@ def context_windows(messages: DataFrame, steps: DataFrame, k: int, keys: Sequenc
     neighbourhood, so there is no join of messages with themselves.
     """
     keys = list(keys)
-    marked = messages.join(steps.select(*keys, "step_idx").distinct().withColumn("is_read", F.lit(1)), [*keys, "step_idx"], "left")
+    place = [*keys, "step_idx"]
+    # Only numbers are windowed; contents are shuffled once, for the messages that stay.
+    read = steps.select(*place).distinct().withColumn("is_read", F.lit(1))
     near = Window.partitionBy(*keys).orderBy("step_idx").rangeBetween(-k, k)
-    return (
-        marked.withColumn("near", F.max("is_read").over(near))
-        .filter("near = 1 and role in ('user', 'assistant', 'tool')")
-        .select(*keys, "step_idx", "role", F.left("content", F.lit(most)).alias("content"), F.coalesce("is_read", F.lit(0)).alias("is_read"))
-    )
+    around = (
+        messages.select(*place).distinct().join(read, place, "left")
+        .withColumn("near", F.max("is_read").over(near))
+        .filter("near = 1").select(*place, F.coalesce("is_read", F.lit(0)).alias("is_read"))
+    )
+    shown = messages.filter("role in ('user', 'assistant', 'tool')").select(*place, "role", F.left("content", F.lit(most)).alias("content"))
+    return shown.join(around, place).select(*place, "role", "content", "is_read")
 
 
 def last_messages(messages: DataFrame, n: int = 8, keys: Sequence[str] = ("traj_id",)) -> DataFrame:

@@ -125,8 +125,8 @@ def apply_replies(spark, d):
 def context_window_k(spark, d):
     m = views.messages(spark, d)
     steps = m.filter("size(tool_calls) > 0").select("traj_id", "step_idx")
-    w = iv.context_windows(m, steps, 1)
-    return w.select("traj_id", "step_idx", "role", F.length("content").alias("n"), "is_read").distinct()
+    w = iv.context_windows(m, steps, 1, most=2**31 - 1)  # whole contents
+    return w.select("traj_id", "step_idx", "role", F.length("content").alias("n"), F.md5("content").alias("h"), "is_read").distinct()
 
 
 def last_context(spark, d):
@@ -279,17 +279,15 @@ UNION ALL SELECT instance_id, path, min(line), max(line) FROM (SELECT *, line -
 , x AS (SELECT DISTINCT instance_id, path, unnest(generate_series(s, e)) AS line FROM preds WHERE e >= s)
 SELECT instance_id, path, min(line) AS s, max(line) AS e FROM (SELECT *, line - row_number() OVER (PARTITION BY instance_id, path ORDER BY line) AS g FROM x) GROUP BY instance_id, path, g
 UNION ALL SELECT instance_id, path, s, e FROM core ANTI JOIN x USING (instance_id, path)""", "reads", "modified", "preds", "lines", "core"),
-    "context_window_k": """
-WITH m AS (SELECT DISTINCT ON (msg_id) *, lower(trim(role, ' ')) AS r FROM messages WHERE step_idx IS NOT NULL AND traj_id IS NOT NULL),
-s AS (SELECT DISTINCT traj_id, step_idx FROM m WHERE len(tool_calls) > 0)
-SELECT DISTINCT m.traj_id, m.step_idx, r AS role, length(left(content, 2000)) AS n,
+    "context_window_k": with_views(
+        """, s AS (SELECT DISTINCT traj_id, step_idx FROM m WHERE len(tool_calls) > 0)
+SELECT DISTINCT m.traj_id, m.step_idx, role, length(content) AS n, md5(content) AS h,
        (EXISTS (SELECT 1 FROM s WHERE s.traj_id = m.traj_id AND s.step_idx = m.step_idx))::INT AS is_read
-FROM m WHERE r IN ('user', 'assistant', 'tool') AND EXISTS (SELECT 1 FROM s WHERE s.traj_id = m.traj_id AND abs(s.step_idx - m.step_idx) <= 1)
-""",
-    "last_context": """
-WITH m AS (SELECT DISTINCT traj_id, step_idx FROM messages WHERE step_idx IS NOT NULL AND traj_id IS NOT NULL)
-SELECT traj_id, step_idx FROM m QUALIFY row_number() OVER (PARTITION BY traj_id ORDER BY step_idx DESC) <= 8
+FROM m WHERE role IN ('user', 'assistant', 'tool') AND EXISTS (SELECT 1 FROM s WHERE s.traj_id = m.traj_id AND abs(s.step_idx - m.step_idx) <= 1)
 """,
+        "messages",
+    ),
+    "last_context": with_views(", d AS (SELECT DISTINCT traj_id, step_idx FROM m) SELECT traj_id, step_idx FROM d QUALIFY row_number() OVER (PARTITION BY traj_id ORDER BY step_idx DESC) <= 8", "messages"),
     "metric_prf": with_views(_PRF, *_SCORE),
     "metric_efficiency": with_views(_EFF, *_SCORE),
     "metric_files": with_views(_FILES, *_SCORE),

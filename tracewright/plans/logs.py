@@ -51,7 +51,7 @@ def diff_files(spark, d):
 
 def next_contents(spark, d):
     m = views.messages(spark, d).select("traj_id", "step_idx", "content")
-    return ex.with_next_content(m).select("traj_id", "step_idx", F.length("next_content").alias("n"))
+    return ex.with_next_content(m).select("traj_id", "step_idx", F.length("next_content").alias("n"), F.md5("next_content").alias("h"))
 
 
 def path_normalize(spark, d):
@@ -238,8 +238,7 @@ SELECT DISTINCT msg_id, regexp_extract(l, '^([^:]+):(\\d+)[:\\-]', 1) AS path, r
     "diff_files": """WITH p AS (SELECT traj_id, unnest(string_split(patch, chr(10))) AS l FROM trajectories WHERE patch IS NOT NULL)
 SELECT DISTINCT traj_id, regexp_extract(l, '^diff --git a/(.+?) b/', 1) AS path FROM p WHERE regexp_matches(l, '^diff --git a/.+? b/')
 UNION SELECT DISTINCT traj_id, regexp_extract(l, '^\\+\\+\\+ b/(.+)$', 1) FROM p WHERE regexp_matches(l, '^\\+\\+\\+ b/.+$')""",
-    "next_contents": """WITH m AS (SELECT DISTINCT msg_id, traj_id, step_idx, content FROM messages WHERE step_idx IS NOT NULL QUALIFY row_number() OVER (PARTITION BY traj_id, step_idx ORDER BY msg_id DESC) = 1)
-SELECT traj_id, step_idx, length(lead(content) OVER (PARTITION BY traj_id ORDER BY step_idx)) AS n FROM m""",
+    "next_contents": with_views("SELECT traj_id, step_idx, length(lead(content) OVER w) AS n, md5(lead(content) OVER w) AS h FROM m WINDOW w AS (PARTITION BY traj_id ORDER BY step_idx)", "messages"),
     "path_normalize": f"""WITH {_PATHS} SELECT path, rtrim(path, '")''`,') AS norm,
   regexp_replace(ltrim(regexp_replace(regexp_replace('/./' || rtrim(path, '")''`,'), '^/+', ''), '^\\./', '', ''), ''), '^$', '') AS norm2 FROM pp""",
     "path_predicates": f"""WITH {_PATHS}, n AS (SELECT path, regexp_extract(path, '([^/]*)$', 1) AS name, split_part(path, '/', 1) AS first FROM pp)

@@ -117,7 +117,7 @@ WITH l AS (SELECT source AS repo, printf('%08d', doc_id) AS path, string_split_r
 f AS (SELECT repo, path, CASE WHEN a[-1] = '' THEN a[:len(a) - 1] ELSE a END AS a FROM l),
 w AS (SELECT repo, path, a, unnest(range(0, len(a), 8)) AS i FROM f WHERE len(a) > 0),
 c AS (SELECT repo, path, i + 1 AS start, least(i + 10, len(a)) AS "end", array_to_string(a[i + 1:i + 10], chr(10)) AS content FROM w WHERE i = 0 OR i - 8 + 10 < len(a))
-SELECT * FROM (SELECT repo, path, row_number() OVER (PARTITION BY repo ORDER BY path, start) - 1 AS chunk_seq, start, "end", length(content) AS n FROM c WHERE regexp_matches(content, '[^\\s\\x{a0}\\x{3000}]')) WHERE chunk_seq < 3000
+SELECT * FROM (SELECT repo, path, row_number() OVER (PARTITION BY repo ORDER BY path, start) - 1 AS chunk_seq, start, "end", length(content) AS n FROM c WHERE regexp_matches(content, '[^\\s\\x{a0}\\x{3000}]'))
 """,
     "bm25_topk": """
 WITH d AS (SELECT doc_id, list_filter(string_split_regex(text, '[\\s\\x{a0}\\x{3000}\\x{85}\\x{1c}-\\x{1f}\\x{2000}-\\x{200a}\\x{2028}\\x{2029}\\x{202f}\\x{205f}]+'), lambda x: x <> '') AS ws FROM documents WHERE text IS NOT NULL),

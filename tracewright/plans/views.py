@@ -55,9 +55,24 @@ def messages(spark: SparkSession, d: str) -> DataFrame:
     return turns.numbered_messages(table(spark, d, "messages"))
 
 
+#: The order of a conversation and its speakers: see the rules of conversations in the description of the tables.
+_MESSAGES = """m0 AS (SELECT DISTINCT ON (msg_id) msg_id, traj_id, step_idx, sent_at, content, tool_calls, tool_call_id, role, lower(trim(role, ' ' || chr(9) || chr(10) || chr(13))) AS r,
+      list_transform(list_filter(coalesce(tool_calls, []), lambda c: c IS NOT NULL), lambda c: c.id) AS ids FROM messages WHERE traj_id IS NOT NULL AND msg_id IS NOT NULL),
+    m1 AS (SELECT *, CASE WHEN r IN ('system', 'developer') THEN 'system' WHEN r IN ('user', 'human') THEN 'user' WHEN r IN ('assistant', 'ai', 'model') THEN 'assistant'
+        WHEN r IN ('tool', 'function', 'observation') THEN 'tool' WHEN coalesce(r, '') <> '' THEN NULL WHEN tool_call_id IS NOT NULL THEN 'tool' ELSE 'assistant' END AS speaker,
+      count(step_idx) OVER c = count(*) OVER c AS stepped, count(DISTINCT step_idx) OVER c = count(*) OVER c AS own FROM m0 WINDOW c AS (PARTITION BY traj_id)),
+    m2 AS (SELECT DISTINCT ON (traj_id, id) traj_id, id AS tool_call_id, sent_at AS asked_at, msg_id AS asker, pos
+      FROM (SELECT traj_id, msg_id, sent_at, unnest(ids) AS id, unnest(range(len(ids))) AS pos FROM m1) WHERE id IS NOT NULL ORDER BY traj_id, id, asked_at NULLS FIRST, asker, pos),
+    m3 AS (SELECT m1.*, coalesce(asked_at = sent_at, false) AND speaker = 'tool' AS same, asker, pos FROM m1 LEFT JOIN m2 USING (traj_id, tool_call_id)),
+    m AS (SELECT traj_id, msg_id, coalesce(speaker, lower(trim(role, ' '))) AS role, content, tool_calls, tool_call_id,
+      (CASE WHEN own THEN step_idx ELSE row_number() OVER (PARTITION BY traj_id ORDER BY CASE WHEN stepped THEN step_idx END NULLS FIRST, coalesce(sent_at, '9999-12-31'),
+        CASE WHEN same THEN 3 WHEN speaker = 'tool' THEN 0 WHEN speaker = 'system' THEN 1 WHEN speaker = 'user' THEN 2 WHEN len(ids) > 0 THEN 3 ELSE 4 END,
+        CASE WHEN same THEN asker ELSE msg_id END, CASE WHEN speaker = 'tool' THEN coalesce(pos, 0) + 1 ELSE 0 END, msg_id) - 1 END)::INT AS step_idx FROM m3)"""
+
 #: Common table expressions, to be put before a statement by :func:`with_views`. L lists the lines of
 #: a read one by one, up to 200 for reads to the end: all given ends are below that.
 SQL_VIEWS = {
+    "messages": _MESSAGES,
     "reads": """reads AS (SELECT l_orderkey // 100 AS instance_id, l_suppkey % 3 AS traj_id, 'm' || ((l_suppkey % 3) % 2) AS model,
       'f' || (l_partkey % 20) || '.py' AS path,
       CASE WHEN l_linenumber = 6 AND l_returnflag = 'A' THEN -(1 + l_quantity::BIGINT % 8) ELSE l_quantity::BIGINT END AS s,
