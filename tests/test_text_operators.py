@@ -1,3 +1,4 @@
+import json
 import math
 from collections import Counter
 
@@ -115,8 +116,26 @@ def test_dense_ties_zeros_nulls(spark, rows):
         ([], (0, 0, 0, 0, 0, True)),
     ],
 )
-def test_token_usage(usage, want):
-    assert stats.token_usage(usage) == want
+def test_token_usage(spark, usage, want):
+    i, o, r, w, x, inside = want
+    df = spark.createDataFrame([(1, json.dumps(usage)), (2, json.dumps({"a": [[{"deep": usage}]], "n": True})), (3, "no json"), (4, None)], "id int, usage string")
+    got = {r[0]: tuple(r)[1:] for r in stats.token_usage(df, ["id"], "usage").collect()}
+    whole = (i, o, r, w, x, i + o + (0 if inside else x))
+    assert got == {1: whole, 2: whole, 3: (0,) * 6, 4: (0,) * 6}
+
+
+def test_subagents_are_a_slice(spark, rows):
+    df = spark.createDataFrame([("m", False, '{"input": 5, "output": 2}'), ("m", True, '{"input": 3, "output": 1, "cache": {"read": 2.9}}'), ("n", False, "{}")], "k string, sub boolean, usage string")
+    assert rows(stats.usage_totals(df, ["k"], "usage", "sub"), "k", "input", "total", "cache_read", "sub_input", "sub_total", "sub_cache_read") == [("m", 8, 11, 2, 3, 4, 2), ("n", 0, 0, 0, 0, 0, 0)]
+
+
+def test_files_and_states(spark, rows):
+    reads = spark.createDataFrame([("a", 3), ("a", 4), ("b", None), ("c", 1)], "path string, n_lines int")
+    assert rows(stats.file_reading(reads, spark.createDataFrame([("a",), ("a",), ("z",)], "path string"))) == [(3, 1, 2, 100 / 3, 200 / 3, 8 / 3)]
+    assert rows(stats.file_reading(reads.limit(0), reads)) == [(0, 0, 0, 0.0, 0.0, 0.0)]
+    r = spark.createDataFrame([("i", True, None), ("j", False, ""), ("k", False, "boom"), ("l", True, "late")], "instance_id string, resolved boolean, error string")
+    assert rows(stats.resolve_states(r)) == [("i", "resolved"), ("j", "unresolved"), ("k", "error"), ("l", "error"), ("l", "resolved")]
+    assert rows(stats.resolve_summary(r)) == [(4, 2, 1, 2, 0.5)] and rows(stats.resolve_summary(r.limit(0))) == [(0, 0, 0, 0, 0.0)]
 
 
 def test_statistics(spark):

@@ -2,14 +2,12 @@
 
 from __future__ import annotations
 
-import json
-import re
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tracewright.functions.variants import is_array, is_object, levels, strict_json, worked_out
 from tracewright.operators.ordering import running_totals
 
 # Bounds of length classes; commands by what they do.
@@ -165,69 +163,122 @@ OUTPUT_APART = {"candidatestokencount"}
 CACHE_READ_NAMES = {"cachereadinputtokens", "cachereadtokens", "cacheread", "cachedtokens", "cachedinputtokens", "cachedcontenttokencount"}
 CACHE_WRITE_NAMES = {"cachecreationinputtokens", "cachecreationtokens", "cachewritetokens", "cachewrite"}
 REASONING_NAMES = {"reasoningtokens", "reasoning", "thoughtstokencount", "thoughts"}
+#: Fixed value: objects nested deeper than this below the usage are not looked at.
 USAGE_DEPTH = 12
 
+_MAP = "map<string,variant>"
+_KINDS = ("input", "output", "cache_read", "cache_write", "reasoning")
 
-def token_usage(value: object) -> tuple[int, int, int, int, int, bool]:
-    """(input without cache, output, cache_read, cache_write, reasoning, reasoning inside output) of any provider's usage object.
 
-    Counts are summed wherever they lie, in the order of the keys. Prompt counts that hold the
-    cached part lose it once; reasoning is apart from the output where it stands beside it.
+def _letters(name: Column) -> Column:
+    return F.regexp_replace(F.lower(name), "[^a-z]", "")
+
+
+def _whole(value: Column) -> Column:
+    """A JSON number without its fraction; null for anything else."""
+    kind = F.schema_of_variant(value)
+    return F.when(kind.rlike("^(BIGINT|DOUBLE|DECIMAL|FLOAT)"), F.try_variant_get(value, "$", "double").cast("bigint"))
+
+
+def _inner(value: Column) -> Column:
+    """Objects and lists right inside an object or list; the object ``cache`` of an object counts as part of it."""
+    holds = lambda x: is_object(x) | is_array(x)
+    fields = F.filter(F.map_entries(F.try_variant_get(value, "$", _MAP)), lambda e: holds(e["value"]) & ~((_letters(e["key"]) == "cache") & is_object(e["value"])))
+    items = F.filter(F.try_variant_get(value, "$", "array<variant>"), holds)
+    return F.coalesce(items, F.transform(fields, lambda e: e["value"]), F.array().cast("array<variant>"))
+
+
+def _counts(value: Column) -> Column:
+    """Counts of one object: (kind, amount, holds the cached part, has reasoning apart)."""
+    entries = F.map_entries(F.try_variant_get(value, "$", _MAP))
+    named = F.transform(entries, lambda e: F.struct(_letters(e["key"]).alias("name"), _whole(e["value"]).alias("amount"), e["value"].alias("value")))
+    numbers = F.filter(named, lambda e: e["amount"].isNotNull())
+    details = F.exists(named, lambda e: e["name"] == "inputtokensdetails")
+    beside = F.exists(numbers, lambda e: e["name"].isin(*REASONING_NAMES))
+    sides = (("input", INPUT_NAMES), ("output", OUTPUT_NAMES | OUTPUT_APART), ("cache_read", CACHE_READ_NAMES), ("cache_write", CACHE_WRITE_NAMES), ("reasoning", REASONING_NAMES))
+
+    def kind(name: Column) -> Column:
+        found = F.lit(None).cast("string")
+        for label, names in sides:
+            found = F.when(name.isin(*names), label).otherwise(found)
+        return found
+
+    plain = F.transform(
+        numbers,
+        lambda e: F.struct(
+            kind(e["name"]).alias("kind"), e["amount"].alias("amount"),
+            (kind(e["name"]) == "input").__and__(e["name"].isin(*INPUT_WITH_CACHE) | details).alias("cached"),
+            (kind(e["name"]) == "output").__and__(e["name"].isin(*OUTPUT_APART) | beside).alias("apart"),
+        ),
+    )
+    nested = F.filter(named, lambda e: (e["name"] == "cache") & is_object(e["value"]))
+    part = lambda label, key: F.transform(
+        nested,
+        lambda e: F.struct(F.lit(label).alias("kind"), _whole(F.try_variant_get(e["value"], f"$.{key}", "variant")).alias("amount"), F.lit(False).alias("cached"), F.lit(False).alias("apart")),
+    )
+    both = F.filter(F.concat(plain, part("cache_read", "read"), part("cache_write", "write")), lambda x: x["kind"].isNotNull() & x["amount"].isNotNull())
+    return F.coalesce(both, F.array().cast("array<struct<kind:string,amount:bigint,cached:boolean,apart:boolean>>"))
+
+
+def token_usage(df: DataFrame, keys: Sequence[str], text: str) -> DataFrame:
+    """Token counts of each JSON text of any provider: keys, input (without cached reads), output, cache_read, cache_write, reasoning, total.
+
+    Counts are summed wherever they lie, by the names above. Prompt counts that hold the cached part
+    lose it once; reasoning that stands beside the output, not inside it, adds to the total. A text
+    that is no JSON counts nothing. Objects are gathered level by level within their row, as deep as
+    the deepest text, so nothing is shuffled.
     """
-    sums = dict.fromkeys(("input", "output", "read", "write", "reasoning"), 0)
-    with_cache = False
-    inside: bool | None = None
-    names = {x: k for k, v in (("input", INPUT_NAMES), ("output", OUTPUT_NAMES | OUTPUT_APART), ("read", CACHE_READ_NAMES), ("write", CACHE_WRITE_NAMES), ("reasoning", REASONING_NAMES)) for x in v}
-    plain = lambda k: re.sub("[^a-z]", "", str(k).lower())
-    number = lambda x: isinstance(x, (int, float)) and not isinstance(x, bool)
-    work: list[tuple[object, int]] = [(value, 0)]
-    while work:
-        at, depth = work.pop()
-        if depth > USAGE_DEPTH:
-            continue
-        if isinstance(at, list):
-            work += [(x, depth + 1) for x in reversed(at)]
-            continue
-        if not isinstance(at, dict):
-            continue
-        keys = {plain(k) for k in at}
-        apart = any(plain(k) in REASONING_NAMES and number(v) for k, v in at.items())
-        deeper = []
-        for key, v in at.items():
-            name = plain(key)
-            if number(v) and name in names:
-                kind = names[name]
-                sums[kind] += int(v)
-                if kind == "input" and (name in INPUT_WITH_CACHE or "inputtokensdetails" in keys):
-                    with_cache = True
-                if kind == "output":
-                    inside = False if name in OUTPUT_APART or apart else (True if inside is None else inside)
-            elif isinstance(v, dict) and name == "cache":
-                sums["read"] += int(v["read"]) if number(v.get("read")) else 0
-                sums["write"] += int(v["write"]) if number(v.get("write")) else 0
-            elif isinstance(v, (dict, list)):
-                deeper.append((v, depth + 1))
-        work += reversed(deeper)
-    own = max(0, sums["input"] - sums["read"]) if with_cache else sums["input"]
-    return own, sums["output"], sums["read"], sums["write"], sums["reasoning"], inside is not False
-
-
-def usage_totals(df: DataFrame, keys: Sequence[str], text: str) -> DataFrame:
-    """Token sums per key from JSON texts of any provider; total is input, output and reasoning that stands apart."""
-    names = ["input", "output", "cache_read", "cache_write", "reasoning", "total"]
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            rows = []
-            for t in batch[text]:
-                try:
-                    i, o, r, w, x, inside = token_usage(json.loads(t))
-                except (TypeError, ValueError):
-                    i = o = r = w = x = 0
-                    inside = True
-                rows.append((i, o, r, w, x, i + o + (0 if inside else x)))
-            yield pd.concat([batch[list(keys)], pd.DataFrame(rows, columns=names, index=batch.index)], axis=1)
-
-    kinds = dict(df.dtypes)
-    schema = ", ".join([f"{k} {kinds[k]}" for k in keys] + [f"{n} bigint" for n in names])
-    return df.select(*keys, text).mapInPandas(run, schema).groupBy(*keys).agg(*[F.sum(n).alias(n) for n in names])
+    keys = list(keys)
+    parsed = strict_json(df, keys, F.col(text), nulls=True)
+    deep = parsed.agg(F.max(levels(F.col("v")))).first()[0] or 0
+    at = parsed.select(*keys, F.array(F.array_compact(F.array("v"))).alias("all"))
+    for _ in range(min(deep - 1, USAGE_DEPTH)):
+        at = worked_out(at, keys, F.concat("all", F.array(F.flatten(F.transform(F.element_at("all", -1), _inner)))), "all")
+    counted = worked_out(at, keys, F.flatten(F.transform(F.flatten("all"), _counts)), "counts")
+    total = lambda k: F.aggregate(F.filter("counts", lambda x: x["kind"] == k), F.lit(0).cast("bigint"), lambda a, x: a + x["amount"]).alias(k)
+    any_of = lambda name: F.exists("counts", lambda x: x[name])
+    sums = counted.select(*keys, *[total(k) for k in _KINDS], any_of("cached").alias("with_cache"), any_of("apart").alias("apart"))
+    own = F.when(F.col("with_cache"), F.greatest(F.lit(0), F.col("input") - F.col("cache_read"))).otherwise(F.col("input"))
+    more = F.when(F.col("apart"), F.col("reasoning")).otherwise(0)
+    return sums.select(*keys, own.alias("input"), "output", "cache_read", "cache_write", "reasoning", (own + F.col("output") + more).alias("total"))
+
+
+def usage_totals(df: DataFrame, keys: Sequence[str], text: str, subagent: str | None = None) -> DataFrame:
+    """Token sums per key from JSON texts of any provider. With ``subagent``, a boolean column, also the part of each sum that
+    subagents used (``sub_`` before its name): a slice of the sum, not an addition to it."""
+    names = [*_KINDS, "total"]
+    more = [subagent] if subagent else []
+    used = token_usage(df, [*keys, *more], text)
+    slices = [F.sum(F.when(F.col(subagent), F.col(n)).otherwise(0)).alias(f"sub_{n}") for n in names] if subagent else []
+    return used.groupBy(*keys).agg(*[F.sum(n).alias(n) for n in names], *slices)
+
+
+def file_reading(reads: DataFrame, edits: DataFrame) -> DataFrame:
+    """One row about files that were read (path, n_lines per read) and edited (path): n_read, n_edited, n_read_only, their shares in percent, mean lines per read file.
+
+    Lines of a file are summed over all reads of it, null counts as none. Without any read file all are 0.
+    """
+    per_file = reads.groupBy("path").agg(F.coalesce(F.sum("n_lines"), F.lit(0)).alias("n_lines"))
+    marked = per_file.join(edits.select("path").distinct().withColumn("edited", F.lit(True)), "path", "left")
+    n, edited = F.count("*"), F.count("edited")
+    share = lambda x: F.coalesce(F.try_divide(x * 100, n), F.lit(0.0))
+    return marked.agg(
+        n.alias("n_read"), edited.alias("n_edited"), (n - edited).alias("n_read_only"), share(edited).alias("edit_pct"), share(n - edited).alias("read_only_pct"),
+        F.coalesce(F.avg("n_lines"), F.lit(0.0)).alias("mean_lines"),
+    )
+
+
+def resolve_states(results: DataFrame) -> DataFrame:
+    """State of each result (instance_id, resolved, error): resolved, error (also beside resolved), unresolved; one row per state it is in."""
+    failed = F.coalesce("error", F.lit("")) != ""
+    states = F.array_compact(F.array(F.when(F.col("resolved"), "resolved"), F.when(failed, "error"), F.when(~F.col("resolved") & ~failed, "unresolved")))
+    return results.select("instance_id", F.explode(states).alias("state"))
+
+
+def resolve_summary(results: DataFrame) -> DataFrame:
+    """total, resolved, unresolved, errors and resolve_rate (0 without results)."""
+    failed = F.coalesce("error", F.lit("")) != ""
+    return results.agg(
+        F.count("*").alias("total"), F.count_if("resolved").alias("resolved"), F.count_if(~F.col("resolved") & ~failed).alias("unresolved"), F.count_if(failed).alias("errors"),
+        F.coalesce(F.try_divide(F.count_if("resolved"), F.count("*")), F.lit(0.0)).alias("resolve_rate"),
+    )
