@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import ast
+import contextlib
 import json
 import re
 from collections.abc import Iterator, Sequence
@@ -11,11 +12,22 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tracewright.operators.ordering import running_totals
+
 # What counts as a path, a reading command, a file made for a test run.
 PATH_SUFFIXES = (
-    ".py .md .txt .json .yaml .yml .js .jsx .ts .tsx .java .kt .kts .scala .swift .cs .c .h .cpp .cc .cxx .hpp .hh .hxx .m .mm .go .rs .rb "
-    ".php .sh .bash .zsh .html .htm .css .scss .less .vue .svelte .xml .toml .cfg .ini .gradle .sql .lua .pl .pm .ex .exs .erl .clj .dart .tf .proto"
-).split()
+    ".py", ".md", ".txt", ".json", ".yaml", ".yml", ".js", ".jsx", ".ts", ".tsx", ".java", ".kt", ".kts", ".scala", ".swift", ".cs", ".c", ".h", ".cpp", ".cc", ".cxx", ".hpp", ".hh", ".hxx", ".m", ".mm",
+    ".go", ".rs", ".rb", ".php", ".sh", ".bash", ".zsh", ".html", ".htm", ".css", ".scss", ".less", ".vue", ".svelte", ".xml", ".toml", ".cfg", ".ini", ".gradle", ".sql", ".lua", ".pl", ".pm", ".ex",
+    ".exs", ".erl", ".clj", ".dart", ".tf", ".proto",
+)
+#: Fixed value: beginnings of names that stand for files of a test run, in paths as a whole.
+TEMP_BEGINNINGS = ("reproduce", "tmp", "temp", "debug_", "test_reproduce")
+#: Suffixes of paths in logged commands.
+LOGGED_SUFFIXES = (
+    ".py", ".md", ".txt", ".json", ".yaml", ".yml", ".toml", ".cfg", ".js", ".ts", ".jsx", ".tsx", ".html", ".css", ".scss", ".sass", ".java", ".c", ".cpp", ".h", ".hpp", ".go", ".rs", ".rb", ".php",
+    ".sh", ".bash", ".zsh", ".fish", ".ps1", ".bat", ".cmd", ".xml", ".sql", ".r", ".m", ".swift", ".kt", ".scala", ".vue", ".svelte", ".dart", ".lua", ".pl", ".pm", ".tcl", ".ini", ".conf", ".config",
+    ".properties", ".env", ".lock", ".log", ".out", ".err",
+)
 READ_COMMANDS = ("cat", "head", "tail", "nl", "less", "more")
 VALUE_FLAGS = ("-n", "-c", "-q", "-v")
 TEMP_PREFIXES = ("reproduce_", "test_reproduce", "debug_", "tmp_", "temp_", "__pycache__")
@@ -83,14 +95,30 @@ def segments(df: DataFrame, command: str) -> DataFrame:
     ).drop("__last")
 
 
+def grep_paths(command: Column) -> Column:
+    """Paths a grep names: words that are no flags and look like a path or hold a slash; none for any other command."""
+    named = F.filter(command_words(command), lambda w: ~w.startswith("-") & (likely_path(w) | w.contains("/")))
+    return F.when(F.lower(F.trim(command)).startswith("grep"), F.transform(named, lambda w: F.btrim(w, F.lit(_TRIM)))).otherwise(F.array().cast("array<string>"))
+
+
+def logged_paths(command: Column) -> Column:
+    """Paths in a logged command: words with a slash and a known suffix, quotes off, no flags and no examples; each once, sorted."""
+    words = F.transform(F.filter(command_words(command), lambda w: ~w.startswith("-")), lambda w: F.btrim(w, F.lit(_TRIM)))
+    suffix = "(?i)(?:" + "|".join(x.replace(".", r"\.") for x in LOGGED_SUFFIXES) + ")$"
+    kept = F.filter(words, lambda w: w.contains("/") & w.rlike(suffix) & ~w.startswith(EXAMPLE_PREFIXES[0]) & ~w.startswith(EXAMPLE_PREFIXES[1]))
+    return F.coalesce(F.array_sort(F.array_distinct(kept)), F.array().cast("array<string>"))
+
+
+_HIT = r"^([^:]+):(\d+)[:\-]"
+
+
 def grep_lines(df: DataFrame, keys: Sequence[str], output: str) -> DataFrame:
     """(path, line) of grep -n output, each once per key."""
     line = F.explode(F.split(output, r"\r?\n")).alias("l")
-    hit = r"^([^:]+):(\d+)[:\-]"
     return (
         df.select(*keys, line)
-        .filter(F.col("l").rlike(hit))
-        .select(*keys, F.regexp_extract("l", hit, 1).alias("path"), F.regexp_extract("l", hit, 2).cast("bigint").alias("line"))
+        .filter(F.col("l").rlike(_HIT))
+        .select(*keys, F.regexp_extract("l", _HIT, 1).alias("path"), F.regexp_extract("l", _HIT, 2).cast("bigint").alias("line"))
         .distinct()
     )
 
@@ -98,21 +126,51 @@ def grep_lines(df: DataFrame, keys: Sequence[str], output: str) -> DataFrame:
 def read_regions(commands: DataFrame, keys: Sequence[str], command: str, output: str | None = None) -> DataFrame:
     """Regions that commands read: keys, path, s, e. The output, if given, belongs to a command's last segment.
 
-    Reading commands give their paths with the line range; a grep as last segment gives the lines
-    of its output; ``rg`` names no paths of its own, only those lines count.
+    Reading commands give their paths with the line range. A grep or rg gives the lines of its
+    output, each once; without any, a grep gives the paths it names as whole files, and rg nothing.
+    All is worked out within the row of a command, nothing is shuffled.
     """
     keys = list(keys)
     seg = segments(commands.select(*keys, command, *([output] if output else [])), command)
-    plain = (
-        seg.filter(reads_content(F.col("segment")))
-        .select(*keys, F.explode(path_args(F.col("segment"))).alias("path"), line_range(F.col("segment")).alias("r"))
-        .select(*keys, "path", "r.s", "r.e")
+    one = F.col("segment")
+    region = lambda path, s, e: F.struct(path.alias("path"), s.cast("bigint").alias("s"), e.cast("bigint").alias("e"))
+    ranged = F.transform(path_args(one), lambda p: region(p, line_range(one)["s"], line_range(one)["e"]))
+    named = F.transform(grep_paths(one), lambda p: region(p, F.lit(1), F.lit(-1)))
+    searching = one.rlike(r"(?i)^(?:grep|rg )")
+    if output is not None:
+        lines = F.filter(F.split(F.when(F.col("is_last"), F.col(output)), r"\r?\n"), lambda x: x.rlike(_HIT))
+        at = lambda x: F.regexp_extract(x, _HIT, 2).cast("bigint")
+        hits = F.array_distinct(F.transform(lines, lambda x: region(F.trim(F.regexp_extract(x, _HIT, 1)), at(x), at(x))))
+        named = F.when(F.size(hits) > 0, hits).otherwise(named)
+    found = F.when(reads_content(one), ranged).when(searching, named)
+    return seg.select(*keys, F.explode(found).alias("r")).select(*keys, "r.path", "r.s", "r.e")
+
+
+def reads_by_step(messages: DataFrame, key: str = "traj_id", order: str = "step_idx") -> DataFrame:
+    """Regions that a trajectory read, with the step of the reading message: key, order, path, s, e.
+
+    messages: key, order, role, content, tool_calls. An assistant's bash block and its calls of a
+    shell tool are read as commands, whose output is the content of the next message of any role;
+    view calls of the editor tool name their region. Roles count after the next message is known.
+    """
+    keys = [key, order]
+    said = with_next_content(messages, key, order).filter("role = 'assistant'")
+    calls = said.select(*keys, "next_content", F.explode("tool_calls").alias("c")).select(
+        *keys, "next_content", F.col("c.function.name").alias("name"), F.col("c.function.arguments").alias("arguments")
     )
-    if output is None:
-        return plain
-    searched = seg.filter(F.col("segment").rlike(r"(?i)^(grep|rg)\b") & F.col("is_last") & F.col(output).isNotNull())
-    hits = grep_lines(searched, keys, output).select(*keys, "path", F.col("line").alias("s"), F.col("line").alias("e"))
-    return plain.unionByName(hits)
+    typed = F.try_variant_get(F.try_parse_json(F.col("arguments")), "$.command", "string")
+    shell = calls.filter(F.col("name").isin("execute_bash", "bash")).select(*keys, "next_content", typed.alias("command"))
+    blocks = said.select(*keys, "next_content", bash_block(F.col("content")).alias("command"))
+    commands = blocks.unionByName(shell).filter("command is not null")
+    return read_regions(commands, keys, "command", "next_content").unionByName(tool_reads(calls, keys))
+
+
+def logged_commands(messages: DataFrame, key: str = "traj_id", order: str = "step_idx", tokens: str | None = None) -> DataFrame:
+    """Bash blocks of assistant messages: key, command_no (from 0, counting only messages with a block), command, and the tokens of the message."""
+    more = [F.coalesce(tokens, F.lit(0)).alias("tokens")] if tokens else []
+    said = messages.filter("role = 'assistant'").select(key, order, bash_block(F.col("content")).alias("command"), *more).filter("command is not null")
+    numbered = running_totals(said, [key], [order], {"n": F.lit(1)})
+    return numbered.select(key, (F.col("n") - 1).alias("command_no"), "command", *(["tokens"] if tokens else []))
 
 
 def tool_reads(calls: DataFrame, keys: Sequence[str], name: str = "name", arguments: str = "arguments") -> DataFrame:
@@ -175,7 +233,7 @@ def plausible_path(path: Column) -> Column:
     """A path that can lie in a repository: no address, no special characters, no temporary file."""
     first = F.substring_index(path, "/", 1)
     name = F.regexp_extract(path, r"([^/]*)$", 1)
-    temp = "^(reproduce|tmp|temp|debug_|test_reproduce)"
+    temp = "^(" + "|".join(TEMP_BEGINNINGS) + ")"
     return (path != "") & ~path.contains("http") & ~path.rlike(r"[\")'`\]\[,<>?*|&^%$#@!~\\{};]") & ~first.rlike(temp) & ~name.rlike(temp)
 
 
@@ -296,19 +354,20 @@ def entity_lines(source: str, name: str) -> tuple[int, int] | None:
     return None
 
 
-def first_json_object(text: str | None, tries: int = 64) -> dict | None:
-    """The first JSON object in a text; braces at a line's start are tried first."""
-    if not text:
-        return None
-    at = [m.start() for m in re.finditer(r"(?m)^\s*\{", text)] + [m.start() for m in re.finditer(r"\{", text)]
-    decoder = json.JSONDecoder()
-    for start in at[:tries]:
-        try:
-            value, _ = decoder.raw_decode(text[text.index("{", start) :])
-        except ValueError:
-            continue
-        if isinstance(value, dict):
-            return value
+#: Fixed value: braces that are tried at most; a bound of the format, not of the data.
+OBJECT_TRIES = 64
+_BRACE = re.compile(r"\{")
+
+
+def first_json_object(text: str | None, tries: int = OBJECT_TRIES) -> dict | None:
+    """The first JSON object in a text; braces that begin a line are tried before those within one."""
+    whole = text or ""
+    places = [m.start() for m in _BRACE.finditer(whole)]
+    begins = {at for at in places if whole[at - 1 : at] in ("", "\n")}
+    read = json.JSONDecoder().raw_decode
+    for at in sorted(places, key=lambda at: (at not in begins, at))[:tries]:
+        with contextlib.suppress(ValueError, RecursionError):
+            return read(whole, at)[0]  # what begins with a brace is an object
     return None
 
 

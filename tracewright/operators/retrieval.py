@@ -251,6 +251,11 @@ def dense(vectors: DataFrame, queries: DataFrame, k: int = 5, positive: bool = T
     return top_k(result.filter("score > 0") if positive else result, query, k, [key])
 
 
+def dense_files(vectors: DataFrame, queries: DataFrame, k: int = 5, **names: str) -> DataFrame:
+    """:func:`dense` over one vector per file: the best ``k`` whole files (s 1, e -1), whatever the sign of their score."""
+    return dense(vectors, queries, k, positive=False, **names).withColumn("s", F.lit(1)).withColumn("e", F.lit(-1))
+
+
 def rerank(base: DataFrame, replies: DataFrame, k: int, query: str = "query_id") -> DataFrame:
     """Second stage: base (query, rank from 1, columns) reordered by replies (query, pos, id).
 

@@ -228,7 +228,8 @@ x AS (SELECT l_orderkey, l_linenumber, segment, ws, unnest(range(2, len(ws) + 1)
 SELECT l_orderkey, l_linenumber, trim(ws[i], '''') AS path,
   CASE WHEN ws[1] = 'tail' THEN -ws[3]::BIGINT WHEN ws[1] = 'sed' THEN regexp_extract(segment, '''(\\d+),(\\d+)p', 1)::BIGINT ELSE 1 END AS s,
   CASE WHEN ws[1] = 'head' THEN regexp_extract(segment, '-n ?(\\d+)', 1)::BIGINT WHEN ws[1] = 'sed' THEN regexp_extract(segment, '''(\\d+),(\\d+)p', 2)::BIGINT ELSE -1 END AS e
-FROM x WHERE ws[i - 1] <> '-n' AND NOT starts_with(ws[i], '-') AND regexp_matches(ws[i], '/|\\.(py|md)$')""",
+FROM x WHERE ws[i - 1] <> '-n' AND NOT starts_with(ws[i], '-') AND regexp_matches(ws[i], '/|\\.(py|md)$')
+UNION ALL SELECT l_orderkey, l_linenumber, regexp_extract(segment, 'src/\\S+', 0), 1, -1 FROM seg WHERE starts_with(segment, 'grep ')""",
     "command_classes": f"WITH {_CMD} SELECT {_CLASS} AS class, count(*) AS n FROM cmd GROUP BY 1",
     "token_contribution": f"""WITH {_CMD}, c AS (SELECT {_CLASS} AS class, tokens, tokens * (count(*) OVER (PARTITION BY l_orderkey) - row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, tokens) + 1) AS carried FROM cmd),
 s AS (SELECT class, count(*) AS n_commands, sum(tokens)::BIGINT AS tokens, sum(carried)::BIGINT AS carried FROM c GROUP BY 1)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("problems", "intervals", "retrieval", "logs", "formats")
+MODULES = ("problems", "intervals", "retrieval", "logs", "formats", "traces")
 
 
 def _merged(what: str) -> dict:
