@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import bisect
 from collections.abc import Iterator
+from pathlib import Path
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -108,15 +109,18 @@ def plan(counts: dict[int, int], capacity: int) -> tuple[list[tuple[int, int, in
 
 
 def token_counts(documents: DataFrame, tokenizer: str = TOKENIZER) -> DataFrame:
-    """doc_id and n_tokens of all non-blank texts, each doc_id once. Texts that are not blank have at least one token."""
+    """doc_id and n_tokens of all non-blank texts, each doc_id once. Texts that are not blank have at least one token.
+
+    The vocabulary, a file of about a megabyte, is read where the job is started and sent to the executors.
+    """
+    vocabulary = documents.sparkSession.sparkContext.broadcast(Path(tokenizer).read_bytes())
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         import base64
 
         import tiktoken
 
-        with open(tokenizer, "rb") as lines:
-            ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
+        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, vocabulary.value.splitlines())}
         encode = tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
         for batch in batches:
             yield pd.DataFrame({"doc_id": batch["doc_id"], "n_tokens": [len(encode(t)) for t in batch["text"]]})
