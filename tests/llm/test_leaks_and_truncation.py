@@ -62,7 +62,9 @@ def test_edit_distances():
 
     r = random.Random(2)
     a, b = (np.array([[r.randrange(4) for _ in range(9)] for _ in range(300)]) for _ in range(2))
-    assert list(edit_distances(a, b)) == [plain_distance(x, y) for x, y in zip(a.tolist(), b.tolist())]
+    for most in (0, 1, 2, 5, 9):
+        told = [min(plain_distance(x, y), most + 1) for x, y in zip(a.tolist(), b.tolist())]
+        assert [min(d, most + 1) for d in edit_distances(a, b, most)] == told
 
 
 @pytest.mark.parametrize("width", [13, 26])

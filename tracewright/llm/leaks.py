@@ -30,17 +30,20 @@ def words(text: str) -> list[str]:
     return WORD.findall(text.casefold())
 
 
-def edit_distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Edit distance of each row of ``a`` to the same row of ``b``, all of one length: one table for all rows at once."""
-    row = np.broadcast_to(np.arange(b.shape[1] + 1, dtype=np.int16), (len(a), b.shape[1] + 1)).copy()
-    for i in range(a.shape[1]):
-        new = np.empty_like(row)
-        new[:, 0] = i + 1
-        step = np.minimum(row[:, 1:] + 1, row[:, :-1] + (a[:, i : i + 1] != b))
-        for j in range(b.shape[1]):
-            new[:, j + 1] = np.minimum(step[:, j], new[:, j] + 1)
+def edit_distances(a: np.ndarray, b: np.ndarray, most: int) -> np.ndarray:
+    """Edit distance of each row of ``a`` to the same row of ``b``, all of one length, or more than ``most``: one table for all rows, of its diagonals within ``most`` only."""
+    n = a.shape[1]
+    a, b = np.ascontiguousarray(a.T), np.ascontiguousarray(b.T)
+    far = np.full(a.shape[1], most + 1, np.int16)
+    row = [np.full(a.shape[1], j, np.int16) if j <= most else far for j in range(n + 1)]
+    for i in range(1, n + 1):
+        new = [far] * (n + 1)
+        if i <= most:
+            new[0] = np.full(a.shape[1], i, np.int16)
+        for j in range(max(1, i - most), min(n, i + most) + 1):
+            new[j] = np.minimum(np.minimum(row[j], new[j - 1]) + np.int16(1), row[j - 1] + (a[i - 1] != b[j - 1]))
         row = new
-    return row[:, -1]
+    return row[n]
 
 
 @dataclass
@@ -184,6 +187,9 @@ def matches(texts: list[str], index: Index) -> list[tuple[int, int]]:
         starts = starts[_may_match(ids, starts, index)]
     found = np.zeros((0, 2), np.int64)
     spread = np.arange(width)
+    code = {int(i): n for n, i in enumerate(np.unique(index.item_of))}
+    numbers = np.vectorize(code.__getitem__, otypes=[np.int64])(index.item_of)
+    coded = lambda pairs: pairs[:, 0] * len(code) + pairs[:, 1]
     for coins, picks, keys, order in zip(index.coins, index.picks, index.keys, index.order):
         own = embed_keys(ids, starts, width, coins, picks, index.mixers)
         low, high = np.searchsorted(keys, own, "left"), np.searchsorted(keys, own, "right")
@@ -201,11 +207,15 @@ def matches(texts: list[str], index: Index) -> list[tuple[int, int]]:
             window = np.repeat(part, sizes)
             at = np.arange(len(window)) - np.repeat(np.cumsum(sizes) - sizes, sizes) + np.repeat(low[part], sizes)
             entry = order[at]
-            pairs = np.stack([owner[starts[window]], index.item_of[entry]], 1)
+            pairs = np.stack([owner[starts[window]], numbers[entry]], 1)
+            # What an earlier repetition found needs no proof again.
+            fresh = ~np.isin(coded(pairs), coded(found))
+            window, entry, pairs = window[fresh], entry[fresh], pairs[fresh]
             a, b = index.ids[index.starts[entry][:, None] + spread], ids[starts[window][:, None] + spread]
-            good = edit_distances(a, b) <= index.edits if index.edits else (a == b).all(1)
+            good = edit_distances(a, b, index.edits) <= index.edits if index.edits else (a == b).all(1)
             found = np.unique(np.concatenate([found, pairs[good]]), axis=0)
-    return [(int(d), int(i)) for d, i in found]
+    item = {n: i for i, n in code.items()}
+    return [(int(d), item[int(n)]) for d, n in found]
 
 
 def leaked_items(
