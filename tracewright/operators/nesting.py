@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -26,17 +28,15 @@ def decoded(df: DataFrame, keys: list[str], text: Column, tagged: bool = False)
     return strict_json(texts, keys, F.col("__t"), "open", twice=True).filter(is_object(F.col("open")) | is_array(F.col("open")))
 
 
-def _open_level(rows: DataFrame, values: bool) -> DataFrame:
-    """Opens one level: an object with its fields, or a list (``list_kind`` says under which key) with its positions.
+def _opener(values: bool) -> Callable[[DataFrame], DataFrame]:
+    """A function that opens one level: an object with its fields, or a list (``list_kind`` says under which key) with its positions.
 
     A node found is emitted twice, once finished (``open`` is a list of one that keeps it in the
     next level) and once to be opened itself. Finished rows pass.
     """
-    inner = rows.lateralJoin(rows.sparkSession.tvf.variant_explode(F.col("open").outer()))
     done = F.col("finished")
     in_list = F.col("list_kind").isNotNull()
     listed = F.col("key").isin(*LIST_KEYS)
-    told = inner.filter(done | in_list | F.col("key").isNotNull()).withColumns({"o": ~done & is_object(F.col("value")), "a": ~done & is_array(F.col("value"))})
     step = lambda at: F.when(F.col("at_path") == "", at.cast("string")).otherwise(F.concat("at_path", F.lit("."), at))
     row = lambda finished, at_path, list_kind, parent, node, kind, value: F.struct(
         finished.alias("finished"), at_path.alias("at_path"), F.col("above").alias("above") if parent is None else parent.alias("above"),
@@ -61,7 +61,15 @@ def _open_level(rows: DataFrame, values: bool) -> DataFrame:
         .when(~in_list & listed & F.col("a"), under)
         .when(~in_list & ~listed & F.col("o"), plain)
     )
-    return told.select("record_kind", "record_id", F.explode(out).alias("x")).select("record_kind", "record_id", "x.*")
+    # The columns are the same for every level, so they are put together once.
+    told = [F.col("*"), (~done & is_object(F.col("value"))).alias("o"), (~done & is_array(F.col("value"))).alias("a")]
+    exploded, opened = F.explode(out).alias("x"), F.col("open").outer()
+
+    def open_level(rows: DataFrame) -> DataFrame:
+        inner = rows.lateralJoin(rows.sparkSession.tvf.variant_explode(opened)).select(*told)
+        return inner.select("record_kind", "record_id", exploded).select("record_kind", "record_id", "x.*")
+
+    return open_level
 
 
 def nested_nodes(events: DataFrame, messages: DataFrame, values: bool = True) -> DataFrame:
@@ -102,9 +110,10 @@ def nested_nodes(events: DataFrame, messages: DataFrame, values: bool = True) ->
         F.to_variant_object(F.struct("c.id", "c.type", F.col("c.function.name").alias("name"))).alias("value"),
     )
     one = F.try_variant_get("open", "$[0]", "variant")
+    open_level = _opener(values)
     while left > 0:
         for _ in range(min(left, MOST_LEVELS)):
-            rows = _open_level(rows, values)
+            rows = open_level(rows)
         finished = rows.filter("finished").select("record_kind", "record_id", F.col("above").alias("parent_path"), "node_path", "node_kind", one.alias("value"))
         found = found.unionByName(finished)
         left -= MOST_LEVELS
