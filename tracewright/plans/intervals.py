@@ -167,7 +167,7 @@ def metric_first_hit(spark, d):
 
 
 def metric_prf_gt_lengths(spark, d):
-    return _scoring(spark, d, scope="gt").line_metrics().select("instance_id", "precision", "recall", "f1")
+    return _scoring(spark, d, scope="gt").prf()
 
 
 def metric_all(spark, d):
