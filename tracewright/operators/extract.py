@@ -252,9 +252,10 @@ def file_operations(commands: DataFrame, keys: Sequence[str], command: str) -> D
 def range_list(text: Column) -> Column:
     """``[5-7, 19, 30-20]`` as an array of (s, e): swapped ends are put right, ends below 1 dropped."""
     parts = F.regexp_extract_all(F.regexp_extract(text, r"\[([\d\s,\-]*)\]", 1), F.lit(r"(\d+\s*-\s*\d+|\d+)"), F.lit(1))
-    a = lambda x: F.regexp_extract(x, r"^(\d+)", 1).cast("bigint")
-    b = lambda x: F.coalesce(F.regexp_extract(x, r"-\s*(\d+)", 1).try_cast("bigint"), a(x))
-    ranges = F.transform(parts, lambda x: F.struct(F.least(a(x), b(x)).alias("s"), F.greatest(a(x), b(x)).alias("e")))
+    number = lambda x: F.btrim(x, F.lit(" \t\r\n")).try_cast("bigint")
+    # Each bound is read once; what is too large for a number is taken as missing.
+    bounds = F.transform(F.transform(parts, lambda x: F.split(x, "-")), lambda x: F.struct(number(F.get(x, 0)).alias("a"), number(F.get(x, 1)).alias("b")))
+    ranges = F.transform(bounds, lambda x: F.struct(F.least(x["a"], x["b"]).alias("s"), F.greatest(x["a"], x["b"]).alias("e")))
     return F.filter(ranges, lambda r: r["s"] > 0)
 
 
