@@ -1,4 +1,4 @@
-"""Refusals and answers that are in none of the given tables."""
+"""Refusals and answers; all but the first refusal are in none of the given tables."""
 
 import pytest
 
